@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup
+from evalmill.llm import chat_format, exact_dedup, simhash
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_report(docs, exact_dedup.scratch_index(spark))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     sample = spark.createDataFrame(
@@ -75,6 +81,7 @@ FROM turns GROUP BY conv_id
 
 _QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op9_chat_format": op9_chat_format,
 }
 
