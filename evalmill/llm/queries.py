@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup, simhash
+from evalmill.llm import chat_format, exact_dedup, sentencepiece_codec, simhash
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return sentencepiece_codec.encoded_digests(docs, _tokenizer("piece_bpe_32k.model"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return exact_dedup.digest_report(docs, exact_dedup.scratch_index(spark))
@@ -80,6 +91,7 @@ FROM turns GROUP BY conv_id
 """
 
 _QUERIES: dict[str, Query] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash": op7_simhash,
     "op9_chat_format": op9_chat_format,
