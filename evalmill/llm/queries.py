@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup, sentencepiece_codec, simhash
+from evalmill.llm import chat_format, exact_dedup, packing, sentencepiece_codec, simhash
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_report(docs, exact_dedup.scratch_index(spark))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, _tokenizer("word_bpe_49k.json")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -93,6 +98,7 @@ FROM turns GROUP BY conv_id
 _QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_chat_format": op9_chat_format,
 }
