@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup, packing, sentencepiece_codec, simhash
+from evalmill.llm import chat_format, exact_dedup, language_id, packing, sentencepiece_codec, simhash
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learned_from(docs))
+    return found.select("doc_id", (language_id.fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     sample = spark.createDataFrame(
@@ -100,6 +106,7 @@ _QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
 }
 
