@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup, language_id, packing, sentencepiece_codec, simhash
+from evalmill.llm import chat_format, exact_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_report(docs, exact_dedup.scratch_index(spark))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learned_from(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        (language_id.fold() == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.token_pieces(docs, _tokenizer("word_bpe_49k.json")))
@@ -104,6 +115,7 @@ FROM turns GROUP BY conv_id
 _QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
