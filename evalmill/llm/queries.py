@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm import chat_format, exact_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity
+from evalmill.llm import (
+    chat_format,
+    exact_dedup,
+    html_extract,
+    language_id,
+    packing,
+    sentencepiece_codec,
+    simhash,
+    toxicity,
+)
 from evalmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -113,6 +126,7 @@ FROM turns GROUP BY conv_id
 """
 
 _QUERIES: dict[str, Query] = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
