@@ -231,7 +231,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    bound_batches(pages.sparkSession, rows=500)
+    bound_batches(pages.sparkSession)
     schema = "page_id long, url string, text string, n_chars long"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

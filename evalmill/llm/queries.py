@@ -15,6 +15,7 @@ from evalmill.llm import (
     packing,
     sentencepiece_codec,
     simhash,
+    topk,
     toxicity,
 )
 from evalmill.session import ship_package
@@ -98,6 +99,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def _escaped_sql(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '{chat_format.ESC}', '{chat_format.ESC}e')"
     for control in chat_format.CONTROLS:
@@ -125,6 +130,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+OP10_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
 _QUERIES: dict[str, Query] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_sentencepiece": op3_sentencepiece,
@@ -134,6 +154,7 @@ _QUERIES: dict[str, Query] = {
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 
@@ -149,4 +170,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL}
