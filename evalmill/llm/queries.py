@@ -12,6 +12,7 @@ from evalmill.llm import (
     exact_dedup,
     html_extract,
     language_id,
+    ngram_lm,
     packing,
     sentencepiece_codec,
     simhash,
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.backoff_scores(_table(spark, sf_dir, "documents")).drop("mean_log10")
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -130,6 +135,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+OP1_SQL = """
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+gram AS (
+  SELECT doc_id, i, w[i] AS g1,
+         CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3
+  FROM place),
+rest AS (SELECT doc_id, (SELECT count(*) FROM gram) - len(w) AS words, len(w) AS n_words FROM split),
+other AS (
+  SELECT doc_id, i, least(i, 3) AS longest,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+         CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) END AS c2,
+         CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) END AS c3
+  FROM gram),
+history AS (
+  SELECT *, lag(c1) OVER words AS h1, lag(c2) OVER words AS h2 FROM other WINDOW words AS (PARTITION BY doc_id ORDER BY i)),
+scored AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 ELSE 1 END AS level,
+         CAST(round(log10(
+           CASE WHEN c3 > 0 THEN c3 / h2 WHEN c2 > 0 THEN c2 / h1 * pow(0.4, longest - 2)
+                ELSE greatest(c1, 1) / (words + 1) * pow(0.4, longest - 1) END) * 1000000) AS BIGINT) AS micro
+  FROM history JOIN rest USING (doc_id))
+SELECT r.doc_id, any_value(r.n_words) AS n_words, CAST(coalesce(sum(micro), 0) AS BIGINT) AS score_micro,
+       count(*) FILTER (level = 1) AS hits_1, count(*) FILTER (level = 2) AS hits_2, count(*) FILTER (level = 3) AS hits_3
+FROM rest r LEFT JOIN scored USING (doc_id) GROUP BY r.doc_id
+"""
+
 OP10_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -146,6 +180,7 @@ QUALIFY row_number() OVER best <= 10
 """
 
 _QUERIES: dict[str, Query] = {
+    "op1_backoff_scores": op1_backoff_scores,
     "op2_html_extraction": op2_html_extraction,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
@@ -170,4 +205,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_backoff_scores": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL}
