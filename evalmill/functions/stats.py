@@ -94,7 +94,7 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
 
 
 @F.udf(DoubleType())
-def mcnemar_by_integers(b: int | None, c: int | None) -> float | None:
+def mcnemar_by_integers(b, c):
     """The same by exact integers, for where the last digits matter."""
     if b is None or c is None:
         return None
