@@ -9,6 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Violations that one check reports at most, and characters of each.
 MOST_VIOLATIONS = 50
@@ -28,7 +29,7 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Canonical form of JSON text; null where it isn't JSON."""
 
@@ -53,7 +54,7 @@ def json_kind(text: str | None, fence: bool = True) -> str | None:
     return kinds.get(type(value), "null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_value_kind(text: pd.Series) -> pd.Series:
     return text.map(json_kind)
 

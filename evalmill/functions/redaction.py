@@ -9,6 +9,7 @@ from urllib.parse import urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MASK = "[redacted]"
 _KEY = r"(?i)(api[_-]?key|secret|token|password|passwd|authorization|credential|private[_-]?key|access[_-]?key|cookie|bearer)"
@@ -38,7 +39,7 @@ def _scrub(value, depth: int = 0):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def scrub_json(text: pd.Series) -> pd.Series:
     """Mask the values of secret keys at any depth; what can't be read is masked whole."""
 
@@ -67,7 +68,7 @@ def _url(text: str) -> str:
     return urlunsplit((parts.scheme, netloc, parts.path, query, parts.fragment))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_url(text: pd.Series) -> pd.Series:
     """Mask user info and secret parameters; an at sign elsewhere masks the path as well."""
     return text.map(lambda t: None if t is None else _url(t))
@@ -78,7 +79,7 @@ def scrub_message(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, TOKEN, MASK), 1, MESSAGE_CHARS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_words(text: pd.Series) -> pd.Series:
     """Redact each URL among the words of a text, keeping its white space."""
     return text.map(lambda t: None if t is None else re.sub(r"\S+://\S+", lambda m: _url(m[0]), t))

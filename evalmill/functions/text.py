@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: A number as evaluators find it in prose.
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
@@ -18,7 +19,7 @@ def normalize_text(text: Column, strip: bool = True, whitespace: bool = False) -
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "") if strip else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full case folding, which no built-in function has (a sharp s becomes two letters)."""
     return text.map(lambda t: None if t is None else t.casefold())
@@ -29,7 +30,7 @@ def _comparable(text: str) -> str:
     return " ".join("".join(kept).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def comparable_text(text: pd.Series) -> pd.Series:
     """Compatibility form, case-folded, without punctuation, single-spaced."""
     return text.map(lambda t: None if t is None else _comparable(t))
@@ -61,6 +62,25 @@ def char_ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:
     return jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
+def comparable_ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:
+    """The same over comparable texts, in one pass of the Python function that makes them so."""
+
+    def grams(t: str) -> set[str]:
+        return {t[i : i + n] for i in range(max(1, len(t) - n + 1))} if t else set()
+
+    @F.pandas_udf(DoubleType())
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: str | None, q: str | None) -> float | None:
+            if p is None or q is None:
+                return None
+            p, q = grams(_comparable(p)), grams(_comparable(q))
+            return len(p & q) / len(p | q) if p | q else 1.0
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return similarity(a, b)
+
+
 def found_number(text: Column, which: str = "first") -> Column:
     """The first, last or only number in a text; null where there is none (or not just one)."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))

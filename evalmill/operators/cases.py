@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evalmill.functions.documents import canonical
 from evalmill.functions.text import digest
@@ -40,7 +41,7 @@ def resolve(cases: DataFrame, defaults: dict) -> DataFrame:
 def merged_json(column: str, defaults: dict):
     """JSON objects over defaults: only keys that are there override, ``extra`` is merged by key."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def merge(text: pd.Series) -> pd.Series:
         def one(t: str | None) -> str:
             own = json.loads(t) if t else {}
@@ -54,7 +55,7 @@ def merged_json(column: str, defaults: dict):
     return merge(F.col(column))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def case_canonical(text: pd.Series) -> pd.Series:
     """Canonical JSON of what a case's hash covers; tags, category, metadata and weight are left out."""
     keys = ("id", "messages", "system", "expected", "params", "evaluators")

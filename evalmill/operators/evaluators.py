@@ -160,8 +160,11 @@ def lexical_similarity(threshold: float = 0.6, method: str = "token_set", ngram:
         raise ValueError("unknown method, or an n-gram size outside 2 to 8")
 
     def build(output: Column, expected: Column) -> Column:
-        a, b = (text.comparable_text(x) if normalize else text.normalize_text(x) for x in (output, expected))
-        score = text.token_set_similarity(a, b) if method == "token_set" else text.char_ngram_similarity(a, b, ngram)
+        if normalize and method == "char_ngram":
+            score = text.comparable_ngram_similarity(output, expected, ngram)
+        else:
+            a, b = (text.comparable_text(x) if normalize else text.normalize_text(x) for x in (output, expected))
+            score = text.token_set_similarity(a, b) if method == "token_set" else text.char_ngram_similarity(a, b, ngram)
         return guarded(result(score >= threshold, score, score), output, expected)
 
     return build

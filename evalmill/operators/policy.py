@@ -105,37 +105,44 @@ def long_metrics(
     The sample of a bucket's pass rate is all its cases; that of an evaluator's
     is its denominator.
     """
-    text, none = lambda c: F.lit(c).cast("string"), F.lit(None).cast("double")
-
-    def part(df: DataFrame, scope: str, key: Column, kind: Column, leaf: str, value: str, n: str, ci: tuple[Column, Column]) -> DataFrame:
+    none = F.lit(None).cast("double")
+    own, unknown = (F.col("ci_low"), F.col("ci_high")), (none, none)
+    of_errors = wilson_interval(F.col("n_errors"), F.col("n_attempted"))
+    of_passes = wilson_interval(F.col("n_passed"), F.col("n_pass_denominator"))
+
+    def part(df: DataFrame, scope: str, key: str | None, kind: str | None, *figures: tuple) -> DataFrame:
+        """A roll-up unpivoted in one pass; a figure is (column, its sample size, its interval)."""
+        cells = [
+            F.struct(
+                F.lit(leaf).alias("leaf"), F.col(leaf).cast("double").alias("value"), F.col(n).cast("long").alias("n"),
+                ci[0].alias("ci_low"), ci[1].alias("ci_high"),
+            )
+            for leaf, n, ci in figures
+        ]
         return df.select(
-            "run_id", text(scope).alias("scope"), key.alias("key"), kind.alias("evaluator_type"), text(leaf).alias("leaf"),
-            F.col(value).cast("double").alias("value"), F.col(n).cast("long").alias("n"), ci[0].alias("ci_low"), ci[1].alias("ci_high"),
-        )
+            "run_id",
+            F.lit(scope).alias("scope"),
+            (F.col(key) if key else F.lit("")).alias("key"),
+            (F.col(kind) if kind else F.lit(None).cast("string")).alias("evaluator_type"),
+            F.inline(F.array(*cells)),
+        )
 
-    no, whole = text(None), text("")
-    own, unknown = (F.col("ci_low"), F.col("ci_high")), (none, none)
-    parts = [
-        part(rollup, "run", whole, no, "pass_rate", "pass_rate", "n_denominator", own),
-        part(rollup, "run", whole, no, "error_rate", "error_rate", "n_attempted", wilson_interval(F.col("n_errors"), F.col("n_attempted"))),
-        part(rollup, "run", whole, no, "mean_score", "mean_score", "n_scored", unknown),
-        part(rollup, "run", whole, no, "median_score", "median_score", "n_scored", unknown),
-        *(part(latency, "latency", whole, no, leaf, leaf, "n", unknown) for leaf in LATENCY),
-        *(
-            part(df, scope, F.col(scope), no, leaf, leaf, "n", own if leaf == "pass_rate" else unknown)
-            for df, scope in ((categories, "category"), (tags, "tag"))
-            for leaf in ("pass_rate", "mean_score")
-        ),
+    bucket = (("pass_rate", "n", own), ("mean_score", "n", unknown))
+    return (
         part(
-            evaluators, "evaluator", F.col("evaluator_id"), F.col("evaluator_type"), "pass_rate", "pass_rate", "n_pass_denominator",
-            wilson_interval(F.col("n_passed"), F.col("n_pass_denominator")),
-        ),
-        part(evaluators, "evaluator", F.col("evaluator_id"), F.col("evaluator_type"), "mean_score", "mean_score", "n", unknown),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+            rollup, "run", None, None, ("pass_rate", "n_denominator", own), ("error_rate", "n_attempted", of_errors),
+            ("mean_score", "n_scored", unknown), ("median_score", "n_scored", unknown),
+        )
+        .unionByName(part(latency, "latency", None, None, *((leaf, "n", unknown) for leaf in LATENCY)))
+        .unionByName(part(categories, "category", "category", None, *bucket))
+        .unionByName(part(tags, "tag", "tag", None, *bucket))
+        .unionByName(
+            part(
+                evaluators, "evaluator", "evaluator_id", "evaluator_type", ("pass_rate", "n_pass_denominator", of_passes),
+                ("mean_score", "n", unknown),
+            )
+        )
+    )
 
 
 def expand(checks: DataFrame, metrics: DataFrame, baseline: str, candidate: str) -> DataFrame:
