@@ -36,7 +36,7 @@ def _eval_sql(passed: str, score: str | None = None, raw: str = "NULL", missing:
       {r(f"CASE WHEN error IS NULL THEN CAST({score} AS DOUBLE) END", "score")}, {r(f"CASE WHEN error IS NULL THEN CAST({raw} AS DOUBLE) END", "raw")}, error FROM state"""
 
 
-_PLAIN = "trim(regexp_replace(regexp_replace(lower({}), '[^\\w\\sÀ-ɏ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\\w\\sÀ-ɏ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _JACCARD = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
 _LEXICAL = f"SELECT *, {_PLAIN.format('output_text')} AS a, {_PLAIN.format('expected_text')} AS b FROM v_text_pairs"
 _GRAMS = "CASE WHEN length({x}) = 0 THEN CAST([] AS STRING[]) WHEN length({x}) <= 3 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) END"
