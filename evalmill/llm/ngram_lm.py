@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm.batches import bound_batches
-from evalmill.session import stage
+from evalmill.session import release_shuffles, stage
 
 #: Words of the documents that are counted together.
 GROUP_WORDS = 1_500_000
@@ -191,28 +191,26 @@ def _cuts(found: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
 
 
-def asked_ngrams(groups: DataFrame, order: int, buckets: int) -> DataFrame:
-    """For each group, level and bucket: the distinct n-grams with their counts in the group."""
+def asked_ngrams(groups: DataFrame, level: int, buckets: int) -> DataFrame:
+    """For each group and bucket: the distinct n-grams of a level with their counts in the group."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, sizes, vocabulary, words in zip(*(batch.column(c).to_pylist() for c in ("grp", "sizes", "vocabulary", "words")), strict=True):
-                group = _read_group(sizes, vocabulary, words, order)
-                for level in range(order):
-                    found, counts = group.distinct(level)
-                    cuts = _cuts(found, buckets)
-                    rows = []
-                    for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if j > i:
-                            steps = np.diff(found[i:j], prepend=np.uint64(0))
-                            rows.append((b, name, level, deflate(steps), deflate(counts[i:j].astype("<u4"))))
-                    if rows:
-                        columns = list(zip(*rows, strict=True))
-                        kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
-                        yield pa.record_batch(
-                            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                            names=[x.split()[0] for x in _ASKED.split(", ")],
-                        )
+                found, counts = _read_group(sizes, vocabulary, words, level + 1).distinct(level)
+                cuts = _cuts(found, buckets)
+                rows = []
+                for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if j > i:
+                        steps = np.diff(found[i:j], prepend=np.uint64(0))
+                        rows.append((b, name, level, deflate(steps), deflate(counts[i:j].astype("<u4"))))
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.record_batch(
+                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                        names=[x.split()[0] for x in _ASKED.split(", ")],
+                    )
 
     return groups.mapInArrow(each, _ASKED)
 
@@ -252,8 +250,14 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = stage(document_groups(docs), "word-groups")
-    asked = asked_ngrams(groups, order, buckets)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "grp string, bucket int, level int, elsewhere binary")
+    answers = None
+    for level in range(order):
+        # Level by level, so that the n-grams of one level only are on the way at a time.
+        asked = asked_ngrams(groups, level, buckets)
+        told = asked.groupBy("bucket").applyInArrow(_answer, "grp string, bucket int, level int, elsewhere binary")
+        told = stage(told, f"ngram-answers-{level + 1}")
+        release_shuffles(spark)
+        answers = told if answers is None else answers.unionByName(told)
     names = [f"hits_{n}" for n in range(1, order + 1)]
     schema = "doc_id long, n_words long, score_micro long, mean_log10 double, " + ", ".join(f"{n} long" for n in names)
 

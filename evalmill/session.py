@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -58,6 +59,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a long job may not do for many minutes.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't start in its folder."""
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
