@@ -102,11 +102,10 @@ def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     survivors = stage(
         report.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies")), "digest-kept"
     ).select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"), "copies")
-    found = docs.join(
-        survivors,
-        docs["doc_id"].eqNullSafe(F.col("kept_id")) & (text_digest() == F.col("kept_digest")),
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_digest().alias("digest"))
+    found = packed.join(
+        survivors, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
     )
-    columns = [docs[c] for c in docs.columns]
-    once = found.filter("copies = 1").select(*columns)
-    repeated = found.filter("copies > 1").select(*columns, "kept_digest")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "kept_digest"]).drop("kept_digest"))
+    once = found.filter("copies = 1").select("row.*")
+    repeated = found.filter("copies > 1").dropDuplicates(["kept_id", "kept_digest"]).select("row.*")
+    return once.unionByName(repeated)

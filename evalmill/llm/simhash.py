@@ -173,7 +173,7 @@ def first_of_each_group(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     found = near_duplicates(docs, shingle_words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "near-kept")
     kept = kept.select(F.col("doc_id").alias("kept_id"), "copies")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    columns = [docs[c] for c in docs.columns]
-    repeated = rows.filter("copies > 1").select(*columns).dropDuplicates(["doc_id"])
-    return rows.filter("copies = 1").select(*columns).unionByName(repeated)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = packed.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
+    repeated = rows.filter("copies > 1").dropDuplicates(["kept_id"])
+    return rows.filter("copies = 1").unionByName(repeated).select("row.*")
