@@ -127,7 +127,8 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds to wait, from a number or an HTTP date; never negative, null where neither."""
     number = F.when(header.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(header).try_cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")), F.lit(0.0))
+    wait = F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0)))
 
 
 def optional_count(value: Column) -> Column:
