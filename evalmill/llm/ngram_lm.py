@@ -53,7 +53,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def deflate(values: np.ndarray) -> bytes:
     """Compact bytes of whole numbers: their bytes by significance, compressed."""
-    wide = values.view(np.uint8).reshape(len(values), -1).T
+    wide = values.view(np.uint8).reshape(len(values), values.itemsize).T
     return len(values).to_bytes(8, "little") + zlib.compress(np.ascontiguousarray(wide).tobytes(), 1)
 
 
