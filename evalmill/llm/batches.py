@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,11 @@ def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) ->
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
+
+
+def return_memory() -> None:
+    """Give freed memory back to the system where the C library can, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

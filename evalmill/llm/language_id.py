@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches
+from evalmill.llm.batches import bound_batches, return_memory
 
 UNKNOWN = "und"
 # First code points of script ranges, and the script that begins there ("" for none).
@@ -51,8 +51,10 @@ ORDERS = (1, 2, 3, 4)
 #: Buckets of the n-gram table; n-grams are hashed into it.
 BUCKETS = 1 << 18
 #: Words that a Python worker remembers at most, and words of the texts labelled together.
-MEMORY = 400_000
-TOGETHER = 1_000_000
+MEMORY = 300_000
+TOGETHER = 500_000
+#: Rows and megabytes of text that are split into words at a time.
+BATCH = 1000, 4
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +102,11 @@ class Model:
         found[~allowed.any(1)] = 0
         return found.astype(np.float32)
 
+    def forget(self) -> None:
+        """Drop the remembered words: an idle Python worker holds none."""
+        self.rows, self.scores, self.letters = {}, None, None
+        return_memory()
+
     def look_up(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the row of each of its words in ``scores`` and ``letters``."""
         split = [_WORDS.findall(t.lower()) for t in texts]
@@ -199,7 +206,7 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
     for lang, n in sorted(sizes.items()):
         share = min(1.0, per_language / n)
         keep = keep | ((F.col("lang") == lang) & (draw < int(share * (1 << 20)) + 1))
-    bound_batches(spark)
+    bound_batches(spark, *BATCH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -251,7 +258,7 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, *BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +285,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 ids, rows, held = [], [], 0
         if ids:
             yield flush()
+        rows, scores, letters = [], None, None
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         each, "doc_id long, lang_pred string, score double"
@@ -296,7 +305,7 @@ def learned_from(docs: DataFrame, held_out: int = 2, per_language: int = 3000) -
 
 def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     """The documents with a language, in at least the share ``least`` of their letters; all columns stay."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, *BATCH)
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.schema["text"].name
@@ -304,6 +313,7 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> Dat
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = label_texts(shared.value, batch.column(columns.index(text)).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found]))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(each, docs.schema)

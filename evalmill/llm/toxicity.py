@@ -19,8 +19,9 @@ give empty results.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches
+from evalmill.llm.batches import bound_batches, return_memory
 from evalmill.llm.language_id import fold
 
 # Terms for groups of people, by kind and language; terms of one list replace each other.
@@ -59,14 +60,16 @@ PREFIXES = range(4, 10)
 #: A word's share of the text counts this many times, up to 1.
 SCALE = 60.0
 #: Words that a Python worker remembers at most.
-MEMORY = 600_000
+MEMORY = 300_000
+#: Rows and megabytes of text in a batch.
+BATCH = 1000, 4
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def word_features(word: str) -> tuple[str, ...]:
     """The word itself and its longer beginnings, which inflected forms share."""
     return (word + "$", *(word[:n] for n in PREFIXES if n <= len(word)))
@@ -100,6 +103,12 @@ class Model:
         self.place = {name: i for i, name in enumerate(self.names)}
         self.vector = [self.weights[n] for n in self.names]
 
+    def forget(self) -> None:
+        """Drop the remembered words: an idle Python worker holds none."""
+        self.memory.clear()
+        word_features.cache_clear()
+        return_memory()
+
     def hits(self, word: str) -> tuple:
         found = tuple(self.place[f] for f in word_features(word) if f in self.place)
         self.memory[word] = found
@@ -126,23 +135,45 @@ def _values(words: Counter, place: dict[str, int]) -> dict[int, float]:
     return {place[f]: min(1.0, n * scale) for f, n in feature_counts(words).items() if f in place}
 
 
-def _matrix(rows: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows as (row, column, value)."""
-    at = np.array([i for i, r in enumerate(rows) for _ in r], np.int64)
-    columns = np.array([c for r in rows for c in r], np.int64)
-    return at, columns, np.array([v for r in rows for v in r.values()])
+def _matrix(rows: Iterable[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sparse rows as (row, column, value), and how many rows there are."""
+    at, columns, values, n = array("q"), array("q"), array("d"), 0
+    for row in rows:
+        at.extend([n] * len(row))
+        columns.extend(row)
+        values.extend(row.values())
+        n += 1
+    return np.array(at, np.int64), np.array(columns, np.int64), np.array(values, float), n
+
+
+def _swap_changes(sentences: list[str], place: dict[str, int]) -> Iterator[dict[int, float]]:
+    """For each sentence and swap of its identity terms: what changes in its features."""
+    for sentence in sentences:
+        words = words_of(sentence)
+        here = _values(Counter(words), place)
+        for step in (1, 2, 3):
+            there = _values(Counter(swapped(words, step)), place)
+            change = {i: here.get(i, 0) - there.get(i, 0) for i in here.keys() | there.keys()}
+            yield {i: v for i, v in change.items() if v}
 
 
 def fit(
-    examples: list[tuple[str | None, int]],
+    examples: Iterable[tuple[str | None, int]],
     features: int = 3000,
     counterfactual: float = 5.0,
     ridge: float = 2e-4,
     rounds: int = 400,
 ) -> Model:
     """Fit from (text, label); ``counterfactual`` weighs the squared change of a swapped sentence's logit."""
-    texts = [Counter(words_of(t)) for t, _ in examples]
-    labels = np.array([y for _, y in examples], float)
+    texts, answers, sentences = [], [], []
+    same: dict[str, str] = {}  # one copy of each word, whatever the number of texts that have it
+    for text, label in examples:
+        found = Counter(words_of(text))
+        texts.append(Counter({same.setdefault(w, w): n for w, n in found.items()}))
+        answers.append(label)
+        if not _SWAPS.keys().isdisjoint(found):
+            sentences += [s for s in _SENTENCES.split(text) if not _SWAPS.keys().isdisjoint(words_of(s))]
+    labels = np.array(answers, float)
     if not 0 < labels.sum() < len(labels):
         raise ValueError("the labelled rows must hold both classes")
     seen = [Counter(), Counter()]
@@ -161,20 +192,12 @@ def fit(
     names = sorted(sorted(gain), key=gain.get, reverse=True)[:features]
     names = sorted(set(names) | {f for t in _SWAPS for f in word_features(t)[:1] if f in gain})
     place = {f: i for i, f in enumerate(names)}
-    at, columns, values = _matrix([_values(w, place) for w in texts])
-    pairs = []
-    for (text, _), known in zip(examples, texts, strict=True):
-        if _SWAPS.keys().isdisjoint(known):
-            continue
-        for sentence in _SENTENCES.split(text or ""):
-            words = words_of(sentence)
-            if any(w in _SWAPS for w in words):
-                here = _values(Counter(words), place)
-                for step in (1, 2, 3):
-                    there = _values(Counter(swapped(words, step)), place)
-                    change = {i: here.get(i, 0) - there.get(i, 0) for i in here.keys() | there.keys()}
-                    pairs.append({i: v for i, v in change.items() if v})
-    p_at, p_columns, p_values = _matrix(pairs)
+    del gain, seen, mass
+    at, columns, values, _ = _matrix(_values(w, place) for w in texts)
+    p_at, p_columns, p_values, pairs = _matrix(_swap_changes(sentences, place))
+    del texts, sentences, same
+    word_features.cache_clear()
+    return_memory()
     weight, bias = np.zeros(len(names)), float(np.log(n1 / n0))
     sample = np.where(labels > 0, n0 / n1, 1.0) ** 0.5
     sample /= sample.sum()
@@ -186,8 +209,8 @@ def fit(
         error = sample * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels)
         slope = np.bincount(columns, values * error[at], len(names)) + ridge * weight
         if pairs:
-            change = np.bincount(p_at, p_values * weight[p_columns], len(pairs))
-            slope += 2 * counterfactual / len(pairs) * np.bincount(p_columns, p_values * change[p_at], len(names))
+            change = np.bincount(p_at, p_values * weight[p_columns], pairs)
+            slope += 2 * counterfactual / pairs * np.bincount(p_columns, p_values * change[p_at], len(names))
         grad = np.append(slope, error.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -209,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, **options) -> Mo
     ]
     sample = chosen[0].unionByName(chosen[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "toxic", "text")
-    return fit([(r["text"], r["toxic"]) for r in rows.toLocalIterator()], **options)
+    return fit(((r["text"], r["toxic"]) for r in rows.toLocalIterator()), **options)
 
 
 def learned_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, **options) -> Model:
@@ -219,7 +242,7 @@ def learned_from(docs: DataFrame, labels: DataFrame, held_out: int = 2, **option
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every whole text."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, *BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +250,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [score(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+        shared.value.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         each, "doc_id long, score double"
@@ -235,12 +259,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents that score below the threshold; all columns stay."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, *BATCH)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(each, docs.schema)
