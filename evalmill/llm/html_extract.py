@@ -4,11 +4,13 @@ The standard library's parser streams a page's events; a page becomes lines,
 one for each run of text between block tags, with the number of its text
 characters and of the tags met since the line before. The ratio of the two is
 smoothed with a Gaussian along the page and lines above a threshold are the
-content lines. They are clustered by the sectioning element they stand in, and
-the element whose content lines hold most smoothed text is the content region;
-all its lines belong to the main text, short ones too. Lines inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments are
-boilerplate, wherever they stand, and are never content.
+content lines. They are clustered by the sectioning element they stand in: the
+innermost element that holds them all, or the article or main element around
+it, is the content region; all its lines belong to the main text, short ones
+too. Lines inside menus, headers, footers, sidebars, notices, adverts, forms
+and reader comments are boilerplate, wherever they stand, and are never
+content. A class, id or role that names one of those is no sign of it on an
+element beside which the page has little else to say.
 
 Defined results: a null or empty page, or one without content, has the empty
 text. Unclosed and stray tags end with the elements around them; a new
@@ -56,6 +58,10 @@ MARKS = frozenset(
     "skip hidden copyright".split()
 )
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Before a mark, words that speak of another element than the one they stand on.
+ELSEWHERE = frozenset("has no with without".split())
+#: A marked element is boilerplate only if the rest of the page has this share of its text at least.
+REST = 0.25
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Closed by the opening of the same (or of a sibling of their) kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -70,45 +76,56 @@ class Line:
     tags: int
     region: int
     boilerplate: bool
+    #: The elements around it that a name marks.
+    marks: tuple[int, ...] = ()
 
 
-def _named(attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether attributes mark an element as boilerplate or hidden."""
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether attributes hide an element."""
     for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if not value:
-            continue
-        if name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(p.lower() for p in _PART.findall(value)):
+        if name == "style" and value and _HIDDEN.search(value):
             return True
     return False
 
 
+def _named(attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a class, id or role marks an element as boilerplate."""
+    for name, value in attributes:
+        for word in value.split() if value and name in ("class", "id", "role") else ():
+            parts = [p.lower() for p in _PART.findall(word)]
+            if any(p in MARKS and ELSEWHERE.isdisjoint(parts[:at]) for at, p in enumerate(parts)):
+                return True
+    return False
+
+
 class PageLines(HTMLParser):
     """Collects the lines of a page from the parser's events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        #: Open elements: name, whether it is unseen, whether boilerplate, its region.
-        self.open: list[tuple[str, bool, bool, int]] = []
+        #: Open elements: name, whether it is unseen, whether boilerplate, its region, the marked elements around it.
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
         self.regions = 1
         self.parents = [0]
+        #: The regions that are article or main elements.
+        self.landmarks: set[int] = set()
+        self.marked = 0
         self.pieces: list[str] = []
         self.tags = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, False, 0, ())
 
     def end_line(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             self.pieces.clear()
             if text:
-                _, boilerplate, region = self._state()
-                self.lines.append(Line(text, self.tags, region, boilerplate))
+                _, boilerplate, region, marks = self._state()
+                self.lines.append(Line(text, self.tags, region, boilerplate, marks))
                 self.tags = 0
 
     def _leave(self, depth: int) -> None:
@@ -139,16 +156,24 @@ class PageLines(HTMLParser):
             self.pieces.append(" ")
         if tag in VOID:
             return
-        unseen, boilerplate, region = self._state()
+        unseen, boilerplate, region, marks = self._state()
         inside = any(name in ("article", "main") for name, *_ in self.open)
-        own = tag in BOILERPLATE or tag not in ("html", "body", "article", "main") and _named(attrs)
-        if tag in HEADINGS and self.open and self.open[-1][0] == "header" and inside and not _named(attrs):
-            boilerplate = any(b for name, _, b, _ in self.open if name != "header")
+        free = tag in ("html", "body", "article", "main")
+        own = tag in BOILERPLATE or not free and _hidden(attrs)
+        named = not free and _named(attrs)
+        if tag in HEADINGS and self.open and self.open[-1][0] == "header" and inside and not (named or _hidden(attrs)):
+            around = [x for x in self.open if x[0] != "header"]
+            boilerplate, marks = any(x[2] for x in around), around[-1][4]
         if tag in REGIONS:
             self.parents.append(region)
             region = self.regions
             self.regions += 1
-        self.open.append((tag, unseen or tag in UNSEEN, boilerplate or own, region))
+            if tag in ("article", "main"):
+                self.landmarks.add(region)
+        if named:
+            marks = (*marks, self.marked)
+            self.marked += 1
+        self.open.append((tag, unseen or tag in UNSEEN, boilerplate or own, region, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -169,13 +194,33 @@ class PageLines(HTMLParser):
             self.pieces.append(data)
 
 
-def page_lines(html: str) -> tuple[list[Line], list[int]]:
-    """The lines of a page, and the region around each region."""
+def settle_marks(lines: list[Line]) -> None:
+    """Make lines inside marked elements boilerplate, save for the marks of elements that hold nearly all there is."""
+    held: dict[int, int] = {}
+    seen = [x for x in lines if not x.boilerplate]
+    for x in seen:
+        for mark in x.marks:
+            held[mark] = held.get(mark, 0) + len(x.text)
+    void: set[int] = set()
+    free = sum(len(x.text) for x in seen if not x.marks)
+    # The outer before the inner: elements are numbered as they open. Of those without much beside them, few can be apart.
+    for mark in sorted(held):
+        if free < REST * held[mark]:
+            rest = sum(len(x.text) for x in seen if mark not in x.marks and void.issuperset(x.marks))
+            if rest < REST * held[mark]:
+                void.add(mark)
+    for x in seen:
+        x.boilerplate = not void.issuperset(x.marks)
+
+
+def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
+    """The lines of a page, the region around each region, and the regions that are article or main elements."""
     parser = PageLines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines, parser.parents
+    settle_marks(parser.lines)
+    return parser.lines, parser.parents, parser.landmarks
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -186,14 +231,16 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def content_lines(lines: list[Line], parents: list[int], sigma: float = 1.0, spread: float = 0.5) -> list[Line]:
+def content_lines(
+    lines: list[Line], parents: list[int], landmarks: set[int], sigma: float = 1.0, spread: float = 0.5
+) -> list[Line]:
     """The lines of the content region.
 
     A line's ratio is its characters for each tag; lines whose smoothed ratio
     reaches ``spread`` standard deviations (or the mean, where that is less) are
     content. An element of the page counts what its own lines and the elements
-    inside it hold; the innermost one that still holds nine tenths of all
-    content is the region.
+    inside it hold; the innermost one that still holds all content, or the
+    outermost article or main element around it, is the region.
     """
     if not lines:
         return []
@@ -210,10 +257,14 @@ def content_lines(lines: list[Line], parents: list[int], sigma: float = 1.0, spr
         return []
     best = 0
     while True:
-        inside = [r for r in range(best + 1, len(parents)) if parents[r] == best and held[r] >= 0.9 * held[0]]
+        inside = [r for r in range(best + 1, len(parents)) if parents[r] == best and held[r] == held[0]]
         if not inside:
             break
         best = inside[0]
+    around = best
+    while around:
+        best = around if around in landmarks else best
+        around = parents[around]
     within = [False] * len(parents)
     within[best] = True
     for region in range(best + 1, len(parents)):
@@ -225,8 +276,7 @@ def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    lines, parents = page_lines(html)
-    return "\n\n".join(x.text for x in content_lines(lines, parents))
+    return "\n\n".join(x.text for x in content_lines(*page_lines(html)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
