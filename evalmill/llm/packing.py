@@ -50,7 +50,8 @@ class WordEncoder:
     The words of a Latin-1 text are found here, by the tokenizer's own pattern;
     each word's ids don't depend on its neighbours, so they are remembered. New
     words are encoded many at a time, and told apart by the ends of words.
-    Other texts go to the tokenizer as they are.
+    Other texts, and those that hold the content of an added token, go to the
+    tokenizer as they are.
     """
 
     def __init__(self, definition: str):
@@ -61,7 +62,10 @@ class WordEncoder:
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.by_word = lower and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in splits
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = [t["content"].lower() for t in spec.get("added_tokens") or [] if t["content"]]
+        # With white space in it, an added token could arise where words are put side by side.
+        self.by_word = self.by_word and not any(re.search(r"\s", content) for content in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -82,11 +86,15 @@ class WordEncoder:
             for word, i, j in zip(some, [0, *stops], stops, strict=False):
                 self.memory[word] = raw[4 * i : 4 * j]
 
+    def _apart(self, text: str) -> bool:
+        """Whether the words of a text are found here."""
+        return self.by_word and bool(_LATIN.fullmatch(text)) and not self.added.search(text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        words = [_WORD.findall(t.lower()) if self.by_word and _LATIN.fullmatch(t) else None for t in texts]
+        words = [_WORD.findall(t.lower()) if self._apart(t) else None for t in texts]
         self._learn(list(set().union(*filter(None, words)).difference(self.memory)))
         rest = iter(self._ids([t for t, w in zip(texts, words, strict=True) if w is None]))
         recall = self.memory.__getitem__
