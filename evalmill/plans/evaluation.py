@@ -140,11 +140,24 @@ def _self_preference(spark, sf):
 
 
 def _digests(spark, sf):
-    """One stored copy for each text, under the digest of its canonical JSON."""
+    """One row for each source and language, under the digest of their canonical JSON; texts take no part."""
     docs = table(spark, sf, "documents").select("doc_id", canonical_json(F.to_json(F.struct("source", "lang"))).alias("body"))
     return docs.groupBy(text.digest(F.col("body")).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
+def _case_copies(spark, sf):
+    """One stored copy for each text, under its hash as a case; source and language are metadata, which the hash leaves out."""
+    body = F.struct(
+        F.array(F.struct(F.col("text").alias("content"), F.lit("user").alias("role"))).alias("messages"), F.struct("source", "lang").alias("metadata")
+    )
+    docs = table(spark, sf, "documents").select("doc_id", F.to_json(body).alias("body"))
+    return cases.with_case_hash(docs).groupBy("case_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+
+
+_COPIES = """SELECT 'sha256:' || sha256('{"evaluators":null,"expected":null,"id":null,"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"user"}],"params":null,"system":null}') AS case_hash,
+  min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1"""
+
+
 def _suites(spark, sf):
     rows = table(spark, sf, "part").select(
         F.col("p_brand").alias("suite"), F.lit("1").alias("version"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("id"),
@@ -233,6 +246,7 @@ ENTRIES = [
         _digests,
         """SELECT 'sha256:' || sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS digest, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1""",
     ),
+    entry("case_hash_copies", _case_copies, _COPIES),
     entry("suite_hashes", _suites, _SUITES),
     entry("redact_text", _redacted, _REDACTED),
     entry("csv_guard", _guarded, _GUARDED),
