@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.session import stage
+from evalmill.session import discard, stage
 
 
 def component_roots(links: DataFrame) -> DataFrame:
@@ -39,11 +39,13 @@ def component_roots(links: DataFrame) -> DataFrame:
         pa, pb = (points.select(F.col("of").alias(f"{x}_of"), F.col("to").alias(f"{x}_to")) for x in "ab")
         moved = edges.join(pa, edges["a"] == pa["a_of"]).join(pb, edges["b"] == pb["b_of"])
         low, high = F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")
-        label = stage(
+        label, old_label = stage(
             label.join(points, label["root"] == points["of"], "left").select(
                 "node", F.coalesce("to", "root").alias("root")
             ),
             "component-labels",
-        )
-        edges = stage(moved.select(low, high).filter("a <> b").distinct(), "component-links")
+        ), label
+        edges, old_edges = stage(moved.select(low, high).filter("a <> b").distinct(), "component-links"), edges
+        discard(old_label, old_edges, points)
+    discard(edges)
     return label

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.session import shared_dir, stage
+from evalmill.session import delete_path, shared_dir, stage
 
 INDEX_SCHEMA = "digest binary, keep_id long"
 
@@ -44,6 +44,11 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
+    def close(self) -> None:
+        """Drop the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete_path(self.spark, self.path)
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -95,17 +100,17 @@ def digest_report(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Only the rows that repeat a doc_id and text in full are shuffled by their
-    doc_id; the rest pass through one join on doc_id and digest.
+    Only keys are grouped; the texts meet a list of the rows that go, which
+    Spark broadcasts if it is under the session's threshold. Rows that repeat
+    doc_id and text are shuffled by both, no other rows are.
     """
-    report = digest_report(docs, index).filter("kept")
-    survivors = stage(
-        report.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies")), "digest-kept"
-    ).select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"), "copies")
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_digest().alias("digest"))
-    found = packed.join(
-        survivors, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
-    )
-    once = found.filter("copies = 1").select("row.*")
-    repeated = found.filter("copies > 1").dropDuplicates(["kept_id", "kept_digest"]).select("row.*")
+    keys = stage(digest_report(docs, index).select("doc_id", F.unhex("text_sha256").alias("of"), "kept"), "digest-report")
+    gone = keys.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "of")
+    twice = keys.filter("kept").groupBy("doc_id", "of").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    twice = stage(twice.select(F.col("doc_id").alias("gone_id"), "of"), "digest-repeated")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.unhex(text_digest()).alias("digest"))
+    same = lambda other: F.col("row.doc_id").eqNullSafe(other["gone_id"]) & (packed["digest"] == other["of"])
+    out = stage(gone.unionByName(twice).distinct(), "digest-gone")
+    once = packed.join(out, same(out), "left_anti").select("row.*")
+    repeated = packed.join(twice, same(twice), "left_semi").dropDuplicates(["digest"]).select("row.*")
     return once.unionByName(repeated)
