@@ -1,12 +1,14 @@
 """Stupid-backoff scores of documents against n-gram counts of the whole corpus.
 
-The n-grams of a group of documents are exploded once, as sorted arrays of
-64-bit hashes for each bucket of the hash space, and shuffled to the count
-tables by bucket: a bucket sums the counts of every group and joins the totals
-to the n-grams that asked. The answers return to their group, where each
-word's score is read off and summed by document. N-grams are counted within
-their group before they are shuffled, so a frequent word is one entry a group
-and no key is hot.
+Documents are read in groups of about a million words. The distinct n-grams of
+a group are exploded into arrays of hashes and counts, one for each bucket of
+the hash space, and shuffled by bucket. A bucket holds the count table of its
+n-grams, summed over all groups, and joins it to the n-grams that asked. The
+answers return to their group, where each word's score is read off and summed
+by document. N-grams are counted within their group before they are shuffled,
+so a frequent word is one entry a group and no key is hot; the number of
+buckets grows with the corpus, so a bucket has about ``BUCKET_NGRAMS`` entries
+of a level at any size.
 
 A document is scored by the counts of all others: its own occurrences are
 taken off. With c the counts that are left, the word w after the history h of
@@ -16,6 +18,9 @@ up to ``order - 1`` words of the same document scores
     S(w | h) = alpha * S(w | h')        otherwise, h' without its first word
     S(w)     = max(c(w), 1) / (T + 1)   with T words in the other documents
 
+N-grams are told apart by hashes of 64 bits: of n different ones, about
+n * n / 2**65 pairs share their counts.
+
 Defined results: scores are sums of log10 S, rounded for each word to
 millionths and kept as whole numbers, so that they don't depend on the order of
 addition. Words are runs of anything but ASCII white space in the lower-cased
@@ -26,7 +31,7 @@ documents. Other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -36,31 +41,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches
+from evalmill.llm.batches import bound_batches, return_memory
 from evalmill.session import release_shuffles, stage
 
-#: Words of the documents that are counted together.
-GROUP_WORDS = 1_500_000
+#: Words of the documents that are counted together, and n-grams of a bucket.
+GROUP_WORDS = 1_000_000
+BUCKET_NGRAMS = 2_000_000
 MICRO = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_GROUPS = "grp string, doc_ids binary, sizes binary, vocabulary binary, words binary"
-_ASKED = "bucket int, grp string, level int, hashes binary, counts binary"
+_GROUPS = "grp string, n_words long, doc_ids array<long>, sizes array<long>, vocabulary array<long>, words array<int>"
+_ASKED = "bucket int, grp string, hashes array<long>, counts array<int>"
+_TOLD = "grp string, level int, bucket int, elsewhere array<long>"
+_IN_GROUP = ["doc_ids", "sizes", "vocabulary", "words"]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
+def names_of(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
-def deflate(values: np.ndarray) -> bytes:
-    """Compact bytes of whole numbers: their bytes by significance, compressed."""
-    wide = values.view(np.uint8).reshape(len(values), values.itemsize).T
-    return len(values).to_bytes(8, "little") + zlib.compress(np.ascontiguousarray(wide).tobytes(), 1)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()
 
 
-def inflate(packed: bytes, kind: str) -> np.ndarray:
-    n, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
-    wide = np.frombuffer(zlib.decompress(packed[8:]), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(wide.T).view(kind).reshape(n)
+def list_of(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
 def ngram_hashes(words: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
@@ -78,13 +83,12 @@ def ngram_hashes(words: np.ndarray, place: np.ndarray, order: int) -> list[np.nd
 
 
 class Group:
-    """Documents whose n-grams are counted together."""
+    """Documents whose n-grams are counted together: their sizes in words, and the hash of each word."""
 
-    def __init__(self, sizes: np.ndarray, vocabulary: np.ndarray, words: np.ndarray, order: int):
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: int):
         self.sizes, self.doc = sizes, np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(words)) - np.repeat(starts, sizes)
-        self.levels = ngram_hashes(vocabulary[words], self.place, order)
+        self.place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.levels = ngram_hashes(words, self.place, order)
 
     def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted n-gram hashes of a level with their counts."""
@@ -92,45 +96,40 @@ class Group:
         skip = int(len(found) > 0 and found[0] == 0)
         return found[skip:], counts[skip:]
 
-    def own_counts(self, level: int) -> np.ndarray:
-        """At each word: how often its document has the n-gram that ends there."""
+    def counts_elsewhere(self, level: int, outside: np.ndarray) -> np.ndarray:
+        """At each word: how often other documents have the n-gram that ends there.
+
+        ``outside`` has the count outside this group of each distinct n-gram.
+        """
         grams = self.levels[level]
-        order = np.lexsort((grams, self.doc))
-        sorted_doc, sorted_gram = self.doc[order], grams[order]
+        found, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        skip = int(len(found) > 0 and found[0] == 0)
+        total = np.concatenate([np.zeros(skip, np.int64), outside + counts[skip:]])
+        key = self.doc * np.int64(len(found)) + of
+        order = np.argsort(key)
         new = np.ones(len(order), bool)
-        new[1:] = (sorted_doc[1:] != sorted_doc[:-1]) | (sorted_gram[1:] != sorted_gram[:-1])
+        new[1:] = np.diff(key[order]) != 0
         run = np.cumsum(new) - 1
-        out = np.empty(len(order), np.int64)
-        out[order] = np.bincount(run)[run] if len(order) else 0
-        return out
+        own = np.empty(len(order), np.int64)
+        own[order] = np.bincount(run)[run] if len(order) else 0
+        left = total[of] - own
+        left[grams == 0] = 0
+        return left
 
 
-def scores(group: Group, totals: list[np.ndarray], corpus_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(micro scores of each document, words of each document by the level that scored them).
-
-    ``totals[level]`` holds the corpus count of each distinct n-gram of the
-    group, in the order of :meth:`Group.distinct`.
-    """
-    order = len(totals)
-    others = []
-    for level in range(order):
-        found, _ = group.distinct(level)
-        at = np.searchsorted(found, group.levels[level])
-        valid = group.levels[level] != 0 if level else np.ones(len(group.doc), bool)
-        count = np.zeros(len(group.doc), np.int64)
-        count[valid] = totals[level][at[valid]]
-        count -= group.own_counts(level)
-        count[~valid] = 0
-        others.append(count)
-    rest = corpus_words - group.sizes[group.doc]
-    value = np.maximum(others[0], 1) / (rest + 1)
+def scores(group: Group, outside: list[np.ndarray], corpus_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(micro scores of each document, words of each document by the level that scored them)."""
+    order = len(outside)
     longest = np.minimum(group.place, order - 1)
-    used = np.zeros(len(group.doc), np.int64)
+    used = np.zeros(len(group.doc), np.int8)
+    before = group.counts_elsewhere(0, outside[0])
+    value = np.maximum(before, 1) / (corpus_words - group.sizes[group.doc] + 1)
     for level in range(1, order):
-        hit = others[level] > 0
-        history = np.concatenate([[1], others[level - 1][:-1]])
-        value = np.where(hit, others[level] / np.maximum(history, 1), value)
-        used = np.where(hit, level, used)
+        now = group.counts_elsewhere(level, outside[level])
+        history = np.concatenate([[1], before[:-1]])
+        value = np.where(now > 0, now / np.maximum(history, 1), value)
+        used[now > 0] = level
+        before = now
     micro = np.rint(np.log10(value * alpha ** (longest - used)) * MICRO).astype(np.int64)
     n = len(group.sizes)
     summed = np.bincount(group.doc, micro, n).astype(np.int64)
@@ -139,7 +138,7 @@ def scores(group: Group, totals: list[np.ndarray], corpus_words: int, alpha: flo
 
 
 def document_groups(docs: DataFrame) -> DataFrame:
-    """Groups of whole documents: their ids, sizes, the hashes of their vocabulary, and their words as places in it."""
+    """Groups of whole documents: their ids and sizes, the hashes of their vocabulary, and their words as places in it."""
     bound_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +150,10 @@ def document_groups(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in known), np.uint64, len(known))
             sizes = np.array([len(w) for w in words], np.int64)
-            joined = np.concatenate(words) if words else np.zeros(0, np.uint32)
-            nulls = np.array([i is None for i in ids])
-            plain = np.array([i or 0 for i in ids], np.int64)
-            row = [uuid4().hex], [deflate(plain) + b"|" + nulls.tobytes()], [deflate(sizes)], [hashes.tobytes()], [deflate(joined)]
-            return pa.record_batch([pa.array(c) for c in row], names=[x.split()[0] for x in _GROUPS.split(", ")])
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))
+            columns = [pa.array([uuid4().hex]), pa.array([int(sizes.sum())], pa.int64()), doc_ids, list_of(sizes, pa.int64())]
+            columns += [list_of(hashes.view(np.int64), pa.int64()), list_of(np.concatenate(words), pa.int32())]
+            return pa.record_batch(columns, names=names_of(_GROUPS))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -163,130 +161,105 @@ def document_groups(docs: DataFrame) -> DataFrame:
                 for word in set(found).difference(known):
                     known[word] = len(known)
                 ids.append(doc_id)
-                words.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                words.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 held += len(found)
                 if held > GROUP_WORDS:
                     yield flush()
                     known, ids, words, held = {}, [], [], 0
         if ids:
             yield flush()
+        known, words = {}, []
+        return_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _GROUPS)
 
 
-def _read_ids(packed: bytes) -> list:
-    n = int.from_bytes(packed[:8], "little")
-    nulls = np.frombuffer(packed[len(packed) - n :], bool)
-    ids = inflate(packed[: len(packed) - n - 1], "<i8")
-    return [None if missing else i for i, missing in zip(ids.tolist(), nulls.tolist(), strict=True)]
-
-
-def _read_group(sizes: bytes, vocabulary: bytes, words: bytes, order: int) -> Group:
-    return Group(inflate(sizes, "<i8"), np.frombuffer(vocabulary, "<u8"), inflate(words, "<u4"), order)
-
-
-def _cuts(found: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted hashes pass from one equal range of the hash space to the next."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+def _groups_in(table: pa.RecordBatch | pa.Table, order: int) -> Iterator[tuple[list, Group]]:
+    """(doc_ids, group) of each row."""
+    for row in range(table.num_rows):
+        ids, sizes, vocabulary, words = (table.column(c)[row].values for c in _IN_GROUP)
+        hashes = vocabulary.to_numpy(zero_copy_only=False).view(np.uint64)
+        yield ids, Group(sizes.to_numpy(zero_copy_only=False), hashes[words.to_numpy(zero_copy_only=False)], order)
 
 
 def asked_ngrams(groups: DataFrame, level: int, buckets: int) -> DataFrame:
-    """For each group and bucket: the distinct n-grams of a level with their counts in the group."""
+    """For each group and bucket: the distinct n-grams of a level, sorted, with their counts in the group."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, sizes, vocabulary, words in zip(*(batch.column(c).to_pylist() for c in ("grp", "sizes", "vocabulary", "words")), strict=True):
-                found, counts = _read_group(sizes, vocabulary, words, level + 1).distinct(level)
-                cuts = _cuts(found, buckets)
-                rows = []
-                for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if j > i:
-                        steps = np.diff(found[i:j], prepend=np.uint64(0))
-                        rows.append((b, name, level, deflate(steps), deflate(counts[i:j].astype("<u4"))))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.record_batch(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        names=[x.split()[0] for x in _ASKED.split(", ")],
-                    )
-
-    return groups.mapInArrow(each, _ASKED)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Sum a bucket's counts over all groups and join the totals to the n-grams of each."""
-    levels = table.column("level").to_numpy()
-    answers: list[bytes | None] = [None] * len(levels)
-    for level in np.unique(levels):
-        rows = np.flatnonzero(levels == level).tolist()
-        hashes = [np.cumsum(inflate(table.column("hashes")[r].as_py(), "<u8")) for r in rows]
-        counts = [inflate(table.column("counts")[r].as_py(), "<u4") for r in rows]
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        new = np.ones(len(every), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(new))
-        back = np.empty(len(every), np.int64)
-        back[order] = total[np.cumsum(new) - 1]
-        at = 0
-        for r, own in zip(rows, counts, strict=True):
-            # Most n-grams stand in one group only: what the others add is mostly nothing.
-            answers[r] = deflate((back[at : at + len(own)] - own).astype("<u8"))
-            at += len(own)
-    return pa.table(
-        {"grp": table.column("grp"), "bucket": table.column("bucket"), "level": table.column("level"), "elsewhere": pa.array(answers, pa.binary())}
-    )
+            for name, (_, group) in zip(batch.column("grp").to_pylist(), _groups_in(batch, level + 1), strict=True):
+                found, counts = group.distinct(level)
+                cuts = np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+                full = np.flatnonzero(np.diff(cuts))
+                ends = pa.array(np.concatenate([[0], cuts[1:][full]]), pa.int32())
+                lists = [
+                    pa.ListArray.from_arrays(ends, pa.array(x, kind))
+                    for x, kind in ((found.view(np.int64), pa.int64()), (counts, pa.int32()))
+                ]
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([name] * len(full), pa.string()), *lists], names=names_of(_ASKED))
+        return_memory()
+
+    return groups.select("grp", *_IN_GROUP).mapInArrow(each, _ASKED)
+
+
+def joined_counts(level: int):
+    """Sum a bucket's counts over all groups and join the totals to the n-grams of each: what the others add to its own."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        hashes, counts = (table.column(c).chunk(0) for c in ("hashes", "counts"))
+        grams, own = hashes.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
+        order = np.argsort(grams)
+        new = np.ones(len(grams), bool)
+        new[1:] = np.diff(grams[order]) != 0
+        starts = np.flatnonzero(new)
+        totals = np.add.reduceat(own[order].astype(np.int64), starts)
+        elsewhere = np.empty(len(grams), np.int64)
+        elsewhere[order] = np.repeat(totals, np.diff(starts, append=len(grams)))
+        elsewhere -= own
+        ends = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())])
+        told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elsewhere))
+        columns = [table.column("grp"), pa.array(np.full(table.num_rows, level, np.int32)), table.column("bucket"), told]
+        return pa.table(columns, names=names_of(_TOLD))
+
+    return answer
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_words, score_micro, mean_log10, hits_1 .. hits_<order>) of each row.
 
-    ``hits_n`` counts the words that were scored by an n-gram of n words. The
-    number of buckets is that of the session's shuffle partitions.
+    ``hits_n`` counts the words that were scored by an n-gram of n words.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = stage(document_groups(docs), "word-groups")
+    corpus_words = groups.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(corpus_words / BUCKET_NGRAMS))
     answers = None
     for level in range(order):
         # Level by level, so that the n-grams of one level only are on the way at a time.
-        asked = asked_ngrams(groups, level, buckets)
-        told = asked.groupBy("bucket").applyInArrow(_answer, "grp string, bucket int, level int, elsewhere binary")
+        told = asked_ngrams(groups, level, buckets).groupBy("bucket").applyInArrow(joined_counts(level), _TOLD)
         told = stage(told, f"ngram-answers-{level + 1}")
         release_shuffles(spark)
         answers = told if answers is None else answers.unionByName(told)
     names = [f"hits_{n}" for n in range(1, order + 1)]
     schema = "doc_id long, n_words long, score_micro long, mean_log10 double, " + ", ".join(f"{n} long" for n in names)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [int(inflate(s.as_py(), "<i8").sum()) for s in batch.column("sizes")]
-            yield pa.record_batch([pa.array(sums, pa.int64())], names=["n"])
-
-    counted = groups.select("sizes").mapInArrow(count_words, "n long")
-    corpus_words = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def finish(_, own: pa.Table, told: pa.Table) -> pa.Table:
-        columns: list[list] = [[] for _ in range(4 + order)]
-        for ids, sizes, vocabulary, words in zip(*(own.column(c).to_pylist() for c in ("doc_ids", "sizes", "vocabulary", "words")), strict=True):
-            group = _read_group(sizes, vocabulary, words, order)
-            level, bucket = told.column("level").to_numpy(), told.column("bucket").to_numpy()
-            totals = []
-            for n in range(order):
-                rows = np.flatnonzero(level == n)
-                rows = rows[np.argsort(bucket[rows])].tolist()
-                parts = [inflate(told.column("elsewhere")[r].as_py(), "<u8").astype(np.int64) for r in rows]
-                totals.append(np.concatenate([np.zeros(0, np.int64), *parts]) + group.distinct(n)[1])
-            micro, by_level = scores(group, totals, corpus_words, alpha)
-            n_words = group.sizes
-            mean = np.where(n_words > 0, micro / MICRO / np.maximum(n_words, 1), 0.0)
-            for into, values in zip(columns, (_read_ids(ids), n_words, micro, mean, *by_level.T), strict=True):
-                into.extend(values if isinstance(values, list) else values.tolist())
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * order]
-        heads = ["doc_id", "n_words", "score_micro", "mean_log10", *names]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=heads)
-
-    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)
+    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by([("level", "ascending"), ("bucket", "ascending")]).combine_chunks()
+        of, lists = told.column("level").to_numpy(), told.column("elsewhere")
+        parts = []
+        for ids, group in _groups_in(own, order):
+            outside = []
+            for level in range(order):
+                rows = np.flatnonzero(of == level)
+                some = [x.flatten().to_numpy() for x in lists.slice(rows[0], len(rows)).chunks] if len(rows) else []
+                outside.append(np.concatenate([np.zeros(0, np.int64), *some]))
+            micro, by_level = scores(group, outside, corpus_words, alpha)
+            mean = np.where(group.sizes > 0, micro / MICRO / np.maximum(group.sizes, 1), 0.0)
+            columns = [ids, *(pa.array(c) for c in (group.sizes, micro, mean, *by_level.T.astype(np.int64)))]
+            parts.append(pa.table(columns, names=["doc_id", "n_words", "score_micro", "mean_log10", *names]))
+        return_memory()
+        return pa.concat_tables(parts)
+
+    return groups.select("grp", *_IN_GROUP).groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)

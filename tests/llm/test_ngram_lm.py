@@ -84,10 +84,3 @@ def test_long_text_and_empty_table(spark):
     found = ngram_lm.backoff_scores(spark.createDataFrame([(1, long), (2, long)], schema)).collect()
     assert [r["n_words"] for r in found] == [200_000] * 2 and found[0]["score_micro"] == found[1]["score_micro"]
     assert ngram_lm.backoff_scores(spark.createDataFrame([], schema)).count() == 0
-
-
-def test_packed_numbers_come_back():
-    import numpy as np
-
-    for values in (np.zeros(0, "<u8"), np.array([1, 1 << 63, 5], "<u8"), np.arange(1000, dtype="<u8")):
-        assert (ngram_lm.inflate(ngram_lm.deflate(values), "<u8") == values).all()
