@@ -15,8 +15,8 @@ element beside which the page has little else to say.
 Defined results: a null or empty page, or one without content, has the empty
 text. Unclosed and stray tags end with the elements around them; a new
 paragraph ends an open one. Ties between regions go to the one that comes
-first. Pages are read whole, and repeated pages alike. Character references
-are decoded once. White space inside a block, a line break tag included,
+first. Pages are read whole, in time that grows with their length, and repeated
+pages alike. Character references are decoded once. White space inside a block, a line break tag included,
 becomes one space; blocks are joined by a blank line. Other columns are not
 read; empty tables give empty results.
 """
@@ -24,8 +24,9 @@ read; empty tables give empty results.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -62,6 +63,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ELSEWHERE = frozenset("has no with without".split())
 #: A marked element is boilerplate only if the rest of the page has this share of its text at least.
 REST = 0.25
+#: Of a menu, the share of the text that is links at least.
+LINKS = 0.8
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Closed by the opening of the same (or of a sibling of their) kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -76,8 +79,26 @@ class Line:
     tags: int
     region: int
     boilerplate: bool
-    #: The elements around it that a name marks.
-    marks: tuple[int, ...] = ()
+    #: The innermost element around it that a name marks, 0 for none.
+    mark: int = 0
+    #: Characters of links.
+    linked: int = 0
+
+
+@dataclass
+class Element:
+    """An open element, and what holds for the text in it."""
+
+    name: str
+    unseen: bool = False
+    boilerplate: bool = False
+    region: int = 0
+    mark: int = 0
+    #: Inside an article or main element.
+    landmark: bool = False
+    link: bool = False
+    #: The element around the headers that it stands in.
+    outside: Element | None = None
 
 
 def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
@@ -101,79 +122,79 @@ def _named(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of a page from the parser's events."""
+    """Collects the lines of a page from the parser's events; each event takes the same time however deep it stands."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        #: Open elements: name, whether it is unseen, whether boilerplate, its region, the marked elements around it.
-        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
-        self.regions = 1
-        self.parents = [0]
+        self.open: list[Element] = [Element("")]
+        #: Where the open elements of each name stand; under "block" those of all block elements.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        #: Of each region and each marked element, the one around it.
+        self.parents, self.mark_parents = [0], [0]
         #: The regions that are article or main elements.
         self.landmarks: set[int] = set()
-        self.marked = 0
         self.pieces: list[str] = []
+        self.linked = 0
         self.tags = 0
 
-    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
-        return self.open[-1][1:] if self.open else (False, False, 0, ())
-
     def end_line(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             self.pieces.clear()
             if text:
-                _, boilerplate, region, marks = self._state()
-                self.lines.append(Line(text, self.tags, region, boilerplate, marks))
+                at = self.open[-1]
+                self.lines.append(Line(text, self.tags, at.region, at.boilerplate, at.mark, self.linked))
                 self.tags = 0
+            self.linked = 0
+
+    def _last(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
 
     def _leave(self, depth: int) -> None:
         """Close the open elements from ``depth`` on."""
-        if any(name in BLOCKS for name, *_ in self.open[depth:]):
+        if self._last(["block"]) >= depth:
             self.end_line()
+        for element in reversed(self.open[depth:]):
+            self.places[element.name].pop()
+            if element.name in BLOCKS:
+                self.places["block"].pop()
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-            for depth in range(len(self.open) - 1, -1, -1):
-                name = self.open[depth][0]
-                if name == "p":
-                    self._leave(depth)
-                    break
-                if name in BLOCKS:
-                    break
-        for depth in range(len(self.open) - 1, -1, -1) if tag in _ENDS else ():
-            name = self.open[depth][0]
-            if name in _SHUTS[tag]:
-                break
-            if name in _ENDS[tag]:
-                self._leave(depth)
-                break
+            if (at := self._last(["p"])) and at == self._last(["block"]):
+                self._leave(at)
+        if tag in _ENDS and (at := self._last(_ENDS[tag])) > self._last(_SHUTS[tag]):
+            self._leave(at)
         if tag == "br":
             self.pieces.append(" ")
         if tag in VOID:
             return
-        unseen, boilerplate, region, marks = self._state()
-        inside = any(name in ("article", "main") for name, *_ in self.open)
+        around = self.open[-1]
         free = tag in ("html", "body", "article", "main")
-        own = tag in BOILERPLATE or not free and _hidden(attrs)
-        named = not free and _named(attrs)
-        if tag in HEADINGS and self.open and self.open[-1][0] == "header" and inside and not (named or _hidden(attrs)):
-            around = [x for x in self.open if x[0] != "header"]
-            boilerplate, marks = any(x[2] for x in around), around[-1][4]
+        hidden, named = not free and _hidden(attrs), not free and _named(attrs)
+        if tag in HEADINGS and around.name == "header" and around.landmark and not (named or hidden):
+            # The heading of an article in its own header is part of it.
+            around = around.outside
+        made = replace(around, name=tag, landmark=around.landmark or tag in ("article", "main"), link=around.link or tag == "a")
+        made.outside = around.outside if around.name == "header" else around
+        made.unseen |= tag in UNSEEN
+        made.boilerplate |= tag in BOILERPLATE or hidden
         if tag in REGIONS:
-            self.parents.append(region)
-            region = self.regions
-            self.regions += 1
+            self.parents.append(made.region)
+            made.region = len(self.parents) - 1
             if tag in ("article", "main"):
-                self.landmarks.add(region)
+                self.landmarks.add(made.region)
         if named:
-            marks = (*marks, self.marked)
-            self.marked += 1
-        self.open.append((tag, unseen or tag in UNSEEN, boilerplate or own, region, marks))
+            self.mark_parents.append(made.mark)
+            made.mark = len(self.mark_parents) - 1
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.places["block"].append(len(self.open))
+        self.open.append(made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -182,35 +203,36 @@ class PageLines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._leave(depth)
-                return
-        if tag in BLOCKS:
+        if at := self._last([tag]):
+            self._leave(at)
+        elif tag in BLOCKS:
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
+        if not self.open[-1].unseen:
             self.pieces.append(data)
+            self.linked += len(data.strip()) if self.open[-1].link else 0
 
 
-def settle_marks(lines: list[Line]) -> None:
-    """Make lines inside marked elements boilerplate, save for the marks of elements that hold nearly all there is."""
-    held: dict[int, int] = {}
-    seen = [x for x in lines if not x.boilerplate]
-    for x in seen:
-        for mark in x.marks:
-            held[mark] = held.get(mark, 0) + len(x.text)
-    void: set[int] = set()
-    free = sum(len(x.text) for x in seen if not x.marks)
-    # The outer before the inner: elements are numbered as they open. Of those without much beside them, few can be apart.
-    for mark in sorted(held):
-        if free < REST * held[mark]:
-            rest = sum(len(x.text) for x in seen if mark not in x.marks and void.issuperset(x.marks))
-            if rest < REST * held[mark]:
-                void.add(mark)
-    for x in seen:
-        x.boilerplate = not void.issuperset(x.marks)
+def settle_marks(lines: list[Line], parents: list[int]) -> None:
+    """Make lines inside marked elements boilerplate, save for the marks of elements that hold nearly all there is.
+
+    ``parents`` has the marked element around each, numbered as they open; 0 is none.
+    """
+    own, held = [0] * len(parents), [0] * len(parents)
+    for x in lines:
+        own[x.mark] += 0 if x.boilerplate else len(x.text)
+    for mark in range(len(parents) - 1, 0, -1):
+        held[mark] += own[mark]
+        held[parents[mark]] += held[mark]
+    # The outer before the inner. ``live`` is the text under no mark that counts; what is under marks not yet settled isn't in it.
+    live, void, clear = own[0], [True] * len(parents), [True] * len(parents)
+    for mark in range(1, len(parents)):
+        void[mark] = live < REST * held[mark]
+        clear[mark] = clear[parents[mark]] and void[mark]
+        live += own[mark] if clear[mark] else 0
+    for x in lines:
+        x.boilerplate |= not clear[x.mark]
 
 
 def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
@@ -219,7 +241,7 @@ def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    settle_marks(parser.lines)
+    settle_marks(parser.lines, parser.mark_parents)
     return parser.lines, parser.parents, parser.landmarks
 
 
@@ -256,20 +278,25 @@ def content_lines(
     if not held[0]:
         return []
     best = 0
-    while True:
-        inside = [r for r in range(best + 1, len(parents)) if parents[r] == best and held[r] == held[0]]
-        if not inside:
-            break
-        best = inside[0]
+    for region in range(1, len(parents)):
+        if parents[region] == best and held[region] == held[0]:
+            best = region
     around = best
     while around:
         best = around if around in landmarks else best
         around = parents[around]
-    within = [False] * len(parents)
+    within, landmark = [False] * len(parents), [False] * len(parents)
     within[best] = True
-    for region in range(best + 1, len(parents)):
-        within[region] = within[parents[region]]
-    return [x for x in lines if within[x.region] and not x.boilerplate]
+    text, linked = [0] * len(parents), [0] * len(parents)
+    for x in lines:
+        text[x.region] += len(x.text)
+        linked[x.region] += x.linked
+    for region in range(1, len(parents)):
+        within[region] = within[region] or within[parents[region]]
+        landmark[region] = region in landmarks or landmark[parents[region]]
+    # Elements of little content and of little but links are menus, whatever their names.
+    menu = [not landmark[r] and 2 * held[r] < text[r] <= linked[r] / LINKS for r in range(len(parents))]
+    return [x for x in lines if within[x.region] and not x.boilerplate and not menu[x.region]]
 
 
 def main_text(html: str | None) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from evalmill.llm.html_extract import main_text
 
 LONG = [f"Paragraph {i} of the body goes on for a good while, with words enough to be content." for i in range(30)]
@@ -32,3 +34,18 @@ def test_names_of_wrappers_do_not_empty_a_page():
 def test_comments_longer_than_the_article_are_still_no_content():
     talk = "".join(f"<p>Reader {i} says something that is of no use to anybody at all, at length.</p>" for i in range(50))
     assert page(f"<article>{BODY}</article><div class=comments>{talk}</div>") == LONG
+
+
+def test_menus_without_names_are_dropped_by_their_ratio():
+    links = "".join(f"<li><a href=/{i}>Section number {i}</a></li>" for i in range(12))
+    inside = f"<div><div><ul>{links}</ul></div><div><h1>Title</h1>{BODY}</div><div><ul>{links}</ul></div></div>"
+    assert main_text(f"<html><body>{inside}</body></html>").split("\n\n") == ["Title", *LONG]
+    beside = f"<div><div><p><a>One</a> <a>Two</a> <a>Three</a></p></div><section>{BODY}</section><section>{BODY}</section></div>"
+    assert main_text(f"<html><body>{beside}</body></html>").split("\n\n") == LONG + LONG
+
+
+def test_time_grows_with_the_length_of_a_page():
+    for opened, closed in (("<div>", ""), ("<div class=ad>", ""), ("<div><li>x", "</li>"), ("<header><h1>a", "</h1>"), ("<b>", "</i>")):
+        began = time.perf_counter()
+        main_text(f"<article>{BODY}</article>" + opened * 20_000 + closed * 20_000)
+        assert time.perf_counter() - began < 4, opened
