@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _REPO = str(Path(__file__).resolve().parent.parent)
 _local: dict[str, str] = {}
+#: The setting by which Spark deletes the shuffle files of a query when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,11 +55,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     The copy survives the loss of any executor, and both sides of a later join
-    are plain scans, so that adaptive execution can split a skewed key.
+    are plain scans, so that adaptive execution can split a skewed key. Once it
+    is written, Spark drops the shuffle files that it was made from.
     """
-    path = f"{shared_dir(df.sparkSession)}/evalmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/evalmill/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged
 
@@ -74,15 +82,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver collects its garbage, which a long job may not do for many minutes.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't start in its folder."""
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
