@@ -40,7 +40,8 @@ def test_menus_without_names_are_dropped_by_their_ratio():
     links = "".join(f"<li><a href=/{i}>Section number {i}</a></li>" for i in range(12))
     inside = f"<div><div><ul>{links}</ul></div><div><h1>Title</h1>{BODY}</div><div><ul>{links}</ul></div></div>"
     assert main_text(f"<html><body>{inside}</body></html>").split("\n\n") == ["Title", *LONG]
-    beside = f"<div><div><p><a>One</a> <a>Two</a> <a>Three</a></p></div><section>{BODY}</section><section>{BODY}</section></div>"
+    more = "<div><p>" + " ".join(f"<a>Topic {i}</a>" for i in range(20)) + "</p></div>"
+    beside = f"<div>{more}<section>{BODY}</section><section>{BODY}</section></div>"
     assert main_text(f"<html><body>{beside}</body></html>").split("\n\n") == LONG + LONG
 
 
