@@ -65,6 +65,8 @@ ELSEWHERE = frozenset("has no with without".split())
 REST = 0.25
 #: Of a menu, the share of the text that is links at least.
 LINKS = 0.8
+#: Of the mean ratio of a page, what the ratios of a menu's lines don't reach.
+THIN = 0.25
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Closed by the opening of the same (or of a sibling of their) kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -287,15 +289,16 @@ def content_lines(
         around = parents[around]
     within, landmark = [False] * len(parents), [False] * len(parents)
     within[best] = True
-    text, linked = [0] * len(parents), [0] * len(parents)
-    for x in lines:
+    text, linked, dense = [0] * len(parents), [0] * len(parents), [0] * len(parents)
+    for x, own in zip(lines, ratio.tolist(), strict=True):
         text[x.region] += len(x.text)
         linked[x.region] += x.linked
+        dense[x.region] += len(x.text) if own >= THIN * ratio.mean() else 0
     for region in range(1, len(parents)):
         within[region] = within[region] or within[parents[region]]
         landmark[region] = region in landmarks or landmark[parents[region]]
-    # Elements of little content and of little but links are menus, whatever their names.
-    menu = [not landmark[r] and 2 * held[r] < text[r] <= linked[r] / LINKS for r in range(len(parents))]
+    # Elements of little but links are menus, whatever their names, if their lines are thin.
+    menu = [not landmark[r] and 2 * dense[r] < text[r] <= linked[r] / LINKS for r in range(len(parents))]
     return [x for x in lines if within[x.region] and not x.boilerplate and not menu[x.region]]
 
 
