@@ -8,15 +8,17 @@ a text, with a penalty for every change of language, labels its spans.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and has no spans. Languages tie to the alphabetically first. A word in a script
-of no learned language says nothing, so that a text of such words only gets
-the language with the most training text. Texts of any length are labelled
-whole; a table without usable labels raises ``ValueError``; empty tables to
-label give empty results. Other columns are not read.
+of no learned language says nothing: a text of such words only gets the
+language with the most training text, with score 0, and is not accepted. Texts
+of any length are labelled whole. A table without usable labels gives a model
+of no language: every text is ``und`` with score 0, and none with a letter is
+rejected. Empty tables to label give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,10 +48,14 @@ SCRIPT_STARTS = [
 _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 _NAMES = sorted({n for _, n in SCRIPT_STARTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPT_STARTS], np.int8)
-_WORDS = re.compile(r"[^\W\d_]+")
+# Numbers that are no decimal digits (fractions, numerals in circles) are word characters to ``re``, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 ORDERS = (1, 2, 3, 4)
 #: Buckets of the n-gram table; n-grams are hashed into it.
 BUCKETS = 1 << 18
+#: Languages of a model at most: a megabyte each is collected and broadcast.
+MOST = 256
 #: Words that a Python worker remembers at most, and words of the texts labelled together.
 MEMORY = 300_000
 TOGETHER = 500_000
@@ -95,6 +101,8 @@ class Model:
     letters: np.ndarray | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
+        if not self.languages:
+            return np.zeros((len(words), 0), np.float32)
         gram, first, script = word_features(words)
         found = np.add.reduceat(self.log_odds[gram], first, axis=0)
         allowed = self.scripts[script]
@@ -133,8 +141,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
     starts, sizes = starts[order], sizes[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
-    back = np.zeros(scores.shape, np.int8)
-    states = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, np.int16)
+    states = np.arange(scores.shape[1], dtype=np.int16)
     best = np.zeros((len(sizes), scores.shape[1]), np.float32)
     for t in range(longest):
         n = active[t]
@@ -148,7 +156,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
             now = np.where(stay, now, jump)
         now = now + scores[rows]
         best[:n] = now - now.max(1, keepdims=True)
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     state = best.argmax(1)
     for t in range(longest - 1, -1, -1):
         n = active[t]
@@ -172,19 +180,20 @@ def _label(model: Model, words: list[np.ndarray], scores: np.ndarray, letters: n
     sizes = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(sizes) - sizes
     rows = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
-    path = viterbi(scores[rows], starts, sizes, model.penalty)
+    path = viterbi(scores[rows], starts, sizes, model.penalty) if model.languages else np.zeros(len(rows), np.int16)
     weight, known = letters[rows], (scores[rows] != 0).any(1)
     out = []
     for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        if not size:
+        if not size or not model.languages:
             out.append((UNKNOWN, 0.0, []))
             continue
         part = path[start : start + size]
         total = np.bincount(part, weight[start : start + size], len(model.languages))
-        best = int(total.argmax()) if known[start : start + size].any() else model.prior
+        told = known[start : start + size].any()
+        best = int(total.argmax()) if told else model.prior
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), size]
         spans = [(i, j, model.languages[part[i]]) for i, j in zip(cuts, cuts[1:], strict=False)]
-        out.append((model.languages[best], float(total[best] / total.sum()), spans))
+        out.append((model.languages[best], float(total[best] / total.sum()) if told else 0.0, spans))
     return out
 
 
@@ -199,8 +208,6 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
     spark = labelled.sparkSession
     labelled = labelled.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        raise ValueError("no document has a language to learn from")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20))
     keep = F.lit(False)
     for lang, n in sorted(sizes.items()):
@@ -237,7 +244,9 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(summed.column("lang").to_pylist()))
     if not languages:
-        raise ValueError("no document to learn from has a word")
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(_NAMES), 0), bool), 0)
+    if len(languages) > MOST:
+        raise ValueError(f"{len(languages)} languages are more than {MOST}, which is what the broadcast model may hold")
     place = {lang: i for i, lang in enumerate(languages)}
     of = np.array([place[x] for x in summed.column("lang").to_pylist()])
     gram, n = summed.column("gram").to_numpy(), summed.column("n").to_numpy()
@@ -304,7 +313,10 @@ def learned_from(docs: DataFrame, held_out: int = 2, per_language: int = 3000) -
 
 
 def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The documents with a language, in at least the share ``least`` of their letters; all columns stay."""
+    """The documents with a language, in at least the share ``least`` of their letters; all columns stay.
+
+    A text none of whose words is in the script of a learned language goes, and so does one without letters.
+    """
     bound_batches(docs.sparkSession, *BATCH)
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -313,7 +325,11 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> Dat
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = label_texts(shared.value, batch.column(columns.index(text)).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+            if shared.value.languages:
+                kept = [score > 0 and score >= least for _, score, _ in found]
+            else:
+                kept = [bool(_WORDS.search(t or "")) for t in batch.column(columns.index(text)).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
         shared.value.forget()
 
     return docs.mapInArrow(each, docs.schema)

@@ -3,17 +3,21 @@
 A logistic model over words and beginnings of words is fitted with a penalty on
 the change of a sentence's score when its identity terms are swapped for
 others: what a group is called then carries no weight of its own, and neutral
-mentions of a group aren't taken for insults.
+mentions of a group aren't taken for insults. Terms are the names of groups in
+a list and, from the labelled texts themselves, frequent words of no bearing on
+the label: of each text one sentence with such words is swapped too.
 
 A text's value of a feature is the share of its words that have it, scaled up
 and capped at 1, so that a few insults weigh in a long text as in a short one
 while a chance hit in thousands of words doesn't.
 
 Defined results: a null or empty text, or one without words, has the score of
-the model's intercept; repeated rows score alike; texts are read whole. Labels
-that are null are left out of the fit; a fit without both classes raises
-``ValueError``. Only the text is an input of a score. Empty tables to score
-give empty results.
+the model's
+intercept; repeated rows score alike; texts are read whole. Labels
+that are null are left out of the fit. A fit without both classes learns no
+word: of n labels of which t are toxic every text scores t / (n + 1), so that
+without labels nothing is toxic. Only the text is an input of a score. Empty
+tables to score give empty results.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +59,8 @@ IDENTITY_TERMS = [
     ["inmigrantes", "refugiados", "extranjeros"],
 ]
 _SWAPS = {term: terms for terms in IDENTITY_TERMS for term in terms}
+#: Of the words of no bearing: texts that have one at least, how many are taken, and how many replace each other.
+NEUTRAL_TEXTS, NEUTRAL_WORDS, NEUTRAL_LIST = 20, 400, 4
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?\n])\s+")
 PREFIXES = range(4, 10)
@@ -83,11 +90,30 @@ def feature_counts(words: Counter) -> Counter:
     return found
 
 
-def swapped(words: list[str], step: int) -> list[str]:
-    """The same words with each identity term replaced by another of its list."""
+def neutral_terms(seen: list[Counter], texts: tuple[float, float]) -> dict[str, list[str]]:
+    """For each word whose share of clean and of toxic texts is alike within a standard error: the words it is swapped with.
+
+    ``seen`` counts the texts of either class that have a feature, ``texts`` all texts of either class. The most
+    frequent such words are taken; words of nearly equal frequency replace each other.
+    """
+    every, n0, n1 = sum(texts), *texts
+    found = []
+    for feature in seen[0].keys() | seen[1].keys():
+        both = seen[0][feature] + seen[1][feature]
+        share = both / every
+        error = np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+        if feature[-1] == "$" and both >= NEUTRAL_TEXTS and abs(seen[1][feature] / n1 - seen[0][feature] / n0) <= error:
+            found.append((-both, feature[:-1]))
+    words = [word for _, word in sorted(found)[:NEUTRAL_WORDS] if word not in _SWAPS]
+    lists = [words[at : at + NEUTRAL_LIST] for at in range(0, len(words), NEUTRAL_LIST)]
+    return {word: terms for terms in lists if len(terms) > 1 for word in terms}
+
+
+def swapped(words: list[str], step: int, swaps: dict[str, list[str]] = _SWAPS) -> list[str]:
+    """The same words with each term replaced by another of its list."""
     out = []
     for word in words:
-        terms = _SWAPS.get(word)
+        terms = swaps.get(word)
         out.append(terms[(terms.index(word) + step) % len(terms)] if terms and step % len(terms) else word)
     return out
 
@@ -146,15 +172,18 @@ def _matrix(rows: Iterable[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, n
     return np.array(at, np.int64), np.array(columns, np.int64), np.array(values, float), n
 
 
-def _swap_changes(sentences: list[str], place: dict[str, int]) -> Iterator[dict[int, float]]:
-    """For each sentence and swap of its identity terms: what changes in its features."""
+def _swap_changes(
+    sentences: list[str], place: dict[str, int], swaps: dict[str, list[str]] = _SWAPS
+) -> Iterator[dict[int, float]]:
+    """For each sentence and swap of its terms: what changes in its features."""
     for sentence in sentences:
         words = words_of(sentence)
         here = _values(Counter(words), place)
         for step in (1, 2, 3):
-            there = _values(Counter(swapped(words, step)), place)
+            there = _values(Counter(swapped(words, step, swaps)), place)
             change = {i: here.get(i, 0) - there.get(i, 0) for i in here.keys() | there.keys()}
-            yield {i: v for i, v in change.items() if v}
+            if change := {i: v for i, v in change.items() if v}:
+                yield change
 
 
 def fit(
@@ -164,8 +193,10 @@ def fit(
     ridge: float = 2e-4,
     rounds: int = 400,
 ) -> Model:
-    """Fit from (text, label); ``counterfactual`` weighs the squared change of a swapped sentence's logit."""
-    texts, answers, sentences = [], [], []
+    """Fit from (text, label); ``counterfactual`` weighs the squared change of a swapped sentence's logit, on average over
+    all sentences and swaps that change a feature.
+    """
+    texts, answers, sentences, samples = [], [], [], []
     same: dict[str, str] = {}  # one copy of each word, whatever the number of texts that have it
     for text, label in examples:
         found = Counter(words_of(text))
@@ -173,9 +204,11 @@ def fit(
         answers.append(label)
         if not _SWAPS.keys().isdisjoint(found):
             sentences += [s for s in _SENTENCES.split(text) if not _SWAPS.keys().isdisjoint(words_of(s))]
+        samples.append(max(_SENTENCES.split(text), key=lambda s: (min(len(s), 200), s)) if found else "")
     labels = np.array(answers, float)
     if not 0 < labels.sum() < len(labels):
-        raise ValueError("the labelled rows must hold both classes")
+        share = labels.sum() / (len(labels) + 1)
+        return Model({}, float(np.log(share / (1 - share))) if share else -40.0)
     seen = [Counter(), Counter()]
     mass = [Counter(), Counter()]
     for words, y in zip(texts, labels.astype(int).tolist(), strict=True):
@@ -192,10 +225,12 @@ def fit(
     names = sorted(sorted(gain), key=gain.get, reverse=True)[:features]
     names = sorted(set(names) | {f for t in _SWAPS for f in word_features(t)[:1] if f in gain})
     place = {f: i for i, f in enumerate(names)}
+    neutral = neutral_terms(seen, (n0, n1))
     del gain, seen, mass
     at, columns, values, _ = _matrix(_values(w, place) for w in texts)
-    p_at, p_columns, p_values, pairs = _matrix(_swap_changes(sentences, place))
-    del texts, sentences, same
+    changes = chain(_swap_changes(sentences, place), _swap_changes(samples, place, neutral))
+    p_at, p_columns, p_values, pairs = _matrix(changes if counterfactual else ())
+    del texts, sentences, samples, same
     word_features.cache_clear()
     return_memory()
     weight, bias = np.zeros(len(names)), float(np.log(n1 / n0))
