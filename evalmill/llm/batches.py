@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
@@ -23,3 +24,8 @@ def return_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def small_side(staged: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A staged table of one long a row, broadcast if it has at most so many rows (some 16 MB); else Spark chooses the join."""
+    return F.broadcast(staged) if staged.count() <= most else staged

@@ -18,7 +18,6 @@ rejected. Empty tables to label give empty results. Other columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,9 +47,7 @@ SCRIPT_STARTS = [
 _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 _NAMES = sorted({n for _, n in SCRIPT_STARTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPT_STARTS], np.int8)
-# Numbers that are no decimal digits (fractions, numerals in circles) are word characters to ``re``, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
 #: Buckets of the n-gram table; n-grams are hashed into it.
 BUCKETS = 1 << 18
@@ -63,6 +60,16 @@ TOGETHER = 500_000
 BATCH = 1000, 4
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    words = _WORDS.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    # Fractions, numerals in circles and the like are word characters to ``re``, but no letters.
+    apart = "".join(c if c.isalpha() else " " for c in " ".join(words))
+    return apart.split()
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram buckets of all words, the first place of each word in them, and each word's script."""
     joined = "".join(f"\x02{w}\x03" for w in words)
@@ -117,7 +124,7 @@ class Model:
 
     def look_up(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the row of each of its words in ``scores`` and ``letters``."""
-        split = [_WORDS.findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(self.rows))
         if self.scores is None or len(self.rows) + len(new) > MEMORY:
             self.rows, self.scores, self.letters = {}, np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32)
@@ -220,7 +227,7 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
         scripts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = _WORDS.findall(text.lower())
+                words = words_of(text)
                 if not words:
                     continue
                 gram, _, script = word_features(words)
@@ -328,7 +335,7 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> Dat
             if shared.value.languages:
                 kept = [score > 0 and score >= least for _, score, _ in found]
             else:
-                kept = [bool(_WORDS.search(t or "")) for t in batch.column(columns.index(text)).to_pylist()]
+                kept = [bool(words_of(t or "")) for t in batch.column(columns.index(text)).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
         shared.value.forget()
 
