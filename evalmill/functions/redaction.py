@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import urlsplit, urlunsplit
+from urllib.parse import unquote, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MASK = "[redacted]"
-_KEY = r"(?i)(api[_-]?key|secret|token|password|passwd|authorization|credential|private[_-]?key|access[_-]?key|cookie|bearer)"
-#: Keys that count tokens or only name an environment variable hold no secret.
-_SAFE = r"(?i)(_env|_env_var|_name|max_output_tokens|max_tokens|input_tokens|output_tokens|total_tokens|cached_input_tokens|reasoning_tokens)$"
-#: Text shaped like a credential in a vendor's message.
-TOKEN = r"(?i)\b(?:sk|pk|rk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{8,}|\bAIza[0-9A-Za-z_-]{20,}|\bbearer\s+[A-Za-z0-9._~+/-]{8,}=*|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9._-]+"
+#: In a query string, where brackets would have to be encoded.
+QUERY_MASK = "***"
+CUT = "... [truncated]"
+# Words of keys that hold secrets. A token counts alone or after a qualifier: counts of tokens are no secrets.
+_QUALIFIERS = "access|auth|bearer|refresh|session|id|api"
+_KEY = rf"(?i)api[-_]?key|secret|passwd|password|authorization|bearer|credential|({_QUALIFIERS})[-_]?token|^token$"
+#: Keys that only name a secret's place hold none.
+_SAFE = r"(?i)(_env|_env_var|_name)$"
+# Text shaped like a credential in a vendor's message.
+TOKEN = r"(?i)sk-[A-Za-z0-9_-]{16,}|AIza[0-9A-Za-z_-]{30,}|\bbearer\s+[A-Za-z0-9._-]{8,}|\bx-api-key:\s*\S+"
 DEPTH = 12
 MESSAGE_CHARS = 2000
 
@@ -30,7 +35,7 @@ def _secret(key: str) -> bool:
 
 
 def _scrub(value, depth: int = 0):
-    if depth > DEPTH:
+    if depth >= DEPTH:
         return MASK
     if isinstance(value, dict):
         return {k: MASK if _secret(k) else _scrub(v, depth + 1) for k, v in value.items()}
@@ -54,32 +59,40 @@ def scrub_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def _url(text: str) -> str:
+def _url(text: str, names: bool = False) -> str:
     try:
         parts = urlsplit(text)
     except ValueError:
         return MASK
-    host = parts.netloc.rpartition("@")[2]
-    if "@" in parts.path or "@" in parts.query or "@" in parts.fragment:
-        return MASK if "//" in text and not parts.netloc else urlunsplit((parts.scheme, host, "/" + MASK, "", ""))
-    pairs = [p.partition("=") for p in parts.query.split("&")] if parts.query else []
-    query = "&".join(f"{k}={MASK}" if sep and _secret(k) else k + sep + v for k, sep, v in pairs)
-    netloc = f"{MASK}@{host}" if "@" in parts.netloc else parts.netloc
-    return urlunsplit((parts.scheme, netloc, parts.path, query, parts.fragment))
+    if parts.netloc and "@" in parts.path + parts.query + parts.fragment:
+        # The host may have ended too early, inside a password: nothing after it can be trusted.
+        return f"{parts.scheme}://{MASK}"
+    info, at, host = parts.netloc.rpartition("@")
+    user, colon, _ = info.partition(":")
+    if names and info:
+        info = MASK
+    elif colon:
+        info = f"{user}:{MASK}"
+    pairs = [p.partition("=") for p in parts.query.split("&")]
+    query = "&".join(f"{k}={QUERY_MASK}" if sep and _secret(unquote(k)) else k + sep + v for k, sep, v in pairs)
+    if info + at + host == parts.netloc and query == parts.query:
+        return text
+    return urlunsplit((parts.scheme, info + at + host, parts.path, query, parts.fragment))
 
 
 @F.pandas_udf(StringType())
 def redact_url(text: pd.Series) -> pd.Series:
-    """Mask user info and secret parameters; an at sign elsewhere masks the path as well."""
+    """Mask passwords and secret parameters; an at sign after the host masks all but the scheme. Other text stays as it is."""
     return text.map(lambda t: None if t is None else _url(t))
 
 
 def scrub_message(text: Column) -> Column:
-    """Mask token-shaped text in a vendor's message and cut it to its limit."""
-    return F.substring(F.regexp_replace(text, TOKEN, MASK), 1, MESSAGE_CHARS)
+    """Mask token-shaped text in a vendor's message, cut it to its limit and say so."""
+    masked = F.regexp_replace(text, TOKEN, MASK)
+    return F.when(F.length(masked) > MESSAGE_CHARS, F.concat(F.substring(masked, 1, MESSAGE_CHARS), F.lit(CUT))).otherwise(masked)
 
 
 @F.pandas_udf(StringType())
 def redact_words(text: pd.Series) -> pd.Series:
-    """Redact each URL among the words of a text, keeping its white space."""
-    return text.map(lambda t: None if t is None else re.sub(r"\S+://\S+", lambda m: _url(m[0]), t))
+    """Redact each URL in a text, user names too."""
+    return text.map(lambda t: None if t is None else re.sub(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]*""", lambda m: _url(m[0], True), t))

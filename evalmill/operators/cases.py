@@ -57,18 +57,44 @@ def merged_json(column: str, defaults: dict):
 
 @F.pandas_udf(StringType())
 def case_canonical(text: pd.Series) -> pd.Series:
-    """Canonical JSON of what a case's hash covers; tags, category, metadata and weight are left out."""
+    """Canonical JSON of what a case's hash covers: its prompt, whether authored as an input or as messages, system,
+    expectation, params and evaluators. Tags, category, metadata and weight are left out.
+    """
     keys = ("id", "messages", "system", "expected", "params", "evaluators")
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
         case = json.loads(t)
+        if case.get("messages") is None and case.get("input") is not None:
+            case["messages"] = [{"role": "user", "content": case["input"]}]
+        messages = case.get("messages")
+        case["messages"] = messages and [{"name": m.get("name"), "role": m["role"], "content": m["content"]} for m in messages]
         return canonical({k: case.get(k) for k in keys})
 
     return text.map(one)
 
 
+def resolved_bodies(cases: DataFrame) -> DataFrame:
+    """Resolved cases (of :func:`resolve`) with ``body``: their content as JSON, the suite's defaults included."""
+    specs = F.transform("evaluators", lambda e: F.to_json(e, {"ignoreNullFields": "false"}))
+
+    @F.pandas_udf(StringType())
+    def joined(head: pd.Series, expected: pd.Series, params: pd.Series, evaluators: pd.Series) -> pd.Series:
+        def spec(text: str) -> dict:
+            found = json.loads(text)
+            return {**found, "params": json.loads(found["params"]) if found.get("params") else {}}
+
+        def one(h: str, e: str | None, p: str | None, s) -> str:
+            read = lambda t: None if t is None else json.loads(t)
+            return canonical({**json.loads(h), "expected": read(e), "params": read(p), "evaluators": [spec(x) for x in (s if s is not None else [])]})
+
+        return pd.Series([one(*row) for row in zip(head, expected, params, evaluators, strict=True)])
+
+    head = F.to_json(F.struct("id", "messages", "system"), {"ignoreNullFields": "false"})
+    return cases.withColumn("body", joined(head, F.col("expected"), F.col("params"), specs))
+
+
 def with_case_hash(cases: DataFrame) -> DataFrame:
     """``cases`` (with a JSON column ``body``) and the hash of each one's content."""
     return cases.withColumn("case_hash", digest(case_canonical(F.col("body"))))

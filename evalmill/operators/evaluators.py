@@ -103,7 +103,7 @@ def regex(pattern: str, must_match: bool = True, ignore_case=False, multiline=Fa
     return build
 
 
-def numeric_tolerance(abs_tol: float = 0.0, rel_tol: float = 1e-9, extract: str = "first") -> Evaluator:
+def numeric_tolerance(abs_tol: float = 0.0, rel_tol: float = 0.0, extract: str = "first") -> Evaluator:
     """A text without a number fails; an expectation that is no number is missing."""
 
     def build(output: Column, expected: Column) -> Column:

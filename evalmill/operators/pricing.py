@@ -90,8 +90,12 @@ def billable(total: str = "total_cost", judge: str = "judge_cost") -> Column:
 
 
 def dominant_reasons(costs: DataFrame) -> DataFrame:
-    """The most frequent reason why cases of a run have no price; ties go to the first by name."""
-    counts = costs.filter("unpriced_reason is not null").groupBy("run_id", "unpriced_reason").agg(
+    """The most frequent reason why cases of a run have no price; ties go to the first by name.
+
+    A case without a cost at all (``priced`` is null) has had no response.
+    """
+    reason = F.coalesce("unpriced_reason", F.when(F.col("priced").isNull(), "no_response"))
+    counts = costs.withColumn("unpriced_reason", reason).filter("unpriced_reason is not null").groupBy("run_id", "unpriced_reason").agg(
         F.count(F.lit(1)).alias("n")
     )
     order = Window.partitionBy("run_id").orderBy(F.desc("n"), "unpriced_reason")

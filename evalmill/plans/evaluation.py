@@ -148,13 +148,13 @@ def _digests(spark, sf):
 def _case_copies(spark, sf):
     """One stored copy for each text, under its hash as a case; source and language are metadata, which the hash leaves out."""
     body = F.struct(
-        F.array(F.struct(F.col("text").alias("content"), F.lit("user").alias("role"))).alias("messages"), F.struct("source", "lang").alias("metadata")
+        F.col("text").alias("input"), F.struct("source", "lang").alias("metadata")
     )
     docs = table(spark, sf, "documents").select("doc_id", F.to_json(body).alias("body"))
     return cases.with_case_hash(docs).groupBy("case_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
-_COPIES = """SELECT 'sha256:' || sha256('{"evaluators":null,"expected":null,"id":null,"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"user"}],"params":null,"system":null}') AS case_hash,
+_COPIES = """SELECT 'sha256:' || sha256('{"evaluators":null,"expected":null,"id":null,"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"name":null,"role":"user"}],"params":null,"system":null}') AS case_hash,
   min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1"""
 
 
@@ -170,12 +170,15 @@ _SUITES = """SELECT p_brand AS suite, '1' AS version, 'sha256:' || sha256('{"cas
   || '],"name":"' || p_brand || '","schema_version":1,"version":"1"}') AS suite_hash, CAST(count(*) AS INTEGER) AS n_cases FROM part GROUP BY p_brand"""
 
 
+_NAMES = ("apiKey", "api_key_env", "token", "n_tokens", "token_usage_coverage", "access_token", "Authorization", "max_output_tokens")
+
+
 def _redacted(spark, sf):
-    message = F.concat(F.lit("call "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" key sk-live"), F.lpad(F.col("user_id").cast("string"), 8, "0"))).otherwise(""), F.lit(" done"))
-    return table(spark, sf, "events").select("event_id", redaction.scrub_message(message).alias("message"), redaction.is_secret_key(F.when(F.col("event_id") % 2 == 0, F.lit("apiKey")).otherwise("api_key_env")).alias("secret"))
+    message = F.concat(F.lit("call "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" key sk-live"), F.lpad(F.col("user_id").cast("string"), 12, "0"))).otherwise(""), F.lit(" done"))
+    return table(spark, sf, "events").select("event_id", redaction.scrub_message(message).alias("message"), redaction.is_secret_key(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES) + 1).cast("int"))).alias("secret"))
 
 
-_REDACTED = """SELECT event_id, 'call ' || CAST(event_id AS STRING) || CASE WHEN event_id % 3 = 0 THEN ' key [redacted]' ELSE '' END || ' done' AS message, event_id % 2 = 0 AS secret FROM events"""
+_REDACTED = """SELECT event_id, 'call ' || CAST(event_id AS STRING) || CASE WHEN event_id % 3 = 0 THEN ' key [redacted]' ELSE '' END || ' done' AS message, event_id % 8 IN (0, 2, 5, 6) AS secret FROM events"""
 
 
 def _guarded(spark, sf):
@@ -220,7 +223,7 @@ ENTRIES = [
     entry(
         "eval_numeric",
         _numeric,
-        _eval_sql("coalesce(abs(seen - wanted) <= greatest(1e-9 * greatest(abs(seen), abs(wanted)), 0.01), false)", raw="seen", missing="false", setup=_NUMBERS),
+        _eval_sql("coalesce(abs(seen - wanted) <= 0.01, false)", raw="seen", missing="false", setup=_NUMBERS),
         _TEXT,
     ),
     entry("eval_lexical_token", _scored("lexical_similarity"), _eval_sql("j >= 0.6", "j", "j", setup=_TOKENS_SQL), _TEXT),

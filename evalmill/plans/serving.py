@@ -156,9 +156,9 @@ def _helpers(spark, sf):
     found = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, "Mon, 01 Jan 2024 00:01:30 GMT").otherwise("soon")
     wait = text.retry_after_seconds(found, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     count = text.optional_count(F.col("value").cast("string"))
-    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```\n"), "event_type", F.lit("\n```"))).otherwise(F.col("event_type"))
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" ```json\r\n"), "event_type", F.lit(" ``` \n  ``` "))).otherwise(F.col("event_type"))
     rating = stats.normalized_rating(F.col("value"), F.lit(20.0), F.lit(80.0))
-    status = F.element_at(F.array(*map(F.lit, (429, 504, 401, 500, 404, 422))), (F.col("event_id") % 6 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, (429, 504, 401, 403, 404, 413, 422, 408, None, 302))), (F.col("event_id") % 10 + 1).cast("int"))
     return e.select(
         "event_id", wait.alias("wait_s"), count.alias("count"), text.strip_fence(fenced).alias("inside"), rating.alias("rating"),
         tables.error_kind(status).alias("kind"), text.markdown_cell(F.concat("event_type", F.lit("|x"))).alias("cell"),
@@ -166,8 +166,8 @@ def _helpers(spark, sf):
 
 
 _HELPERS = f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN 90.0 END AS wait_s,
-  CASE WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS count, event_type AS inside, {r("greatest(0.0, least(1.0, (value - 20) / 60))", "rating")},
-  ['rate_limit', 'timeout', 'auth', 'server', 'not_found', 'bad_request'][event_id % 6 + 1] AS kind, event_type || chr(92) || '|x' AS cell FROM events"""
+  CASE WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS count, CASE WHEN event_id % 2 = 0 THEN event_type || ' ``` ' ELSE event_type END AS inside, {r("greatest(0.0, least(1.0, (value - 20) / 60))", "rating")},
+  ['rate_limit', 'server', 'authentication', 'permission', 'not_found', 'context_length', 'invalid_request', 'timeout', 'unknown', 'unknown'][event_id % 10 + 1] AS kind, event_type || chr(92) || '|x' AS cell FROM events"""
 
 
 def _payloads(spark, sf):

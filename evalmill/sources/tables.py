@@ -107,10 +107,12 @@ def finish_reason(found: Column) -> Column:
     return F.coalesce(F.element_at(known, found), F.lit("unknown"))
 
 
+# HTTP statuses with a kind of their own.
+STATUS_KINDS = {401: "authentication", 403: "permission", 404: "not_found", 408: "timeout", 413: "context_length", 429: "rate_limit"}
+
+
 def error_kind(status: Column) -> Column:
-    """The kind of a failed call by its HTTP status."""
-    return (
-        F.when(status == 429, "rate_limit").when(status.isin(408, 504), "timeout").when(status.isin(401, 403), "auth")
-        .when(status == 404, "not_found").when(status.isin(400, 413, 422), "bad_request").when(status >= 500, "server")
-        .when(status.isNull(), "connection").otherwise("unknown")
-    )
+    """The kind of a failed call by its HTTP status; without one, or below 400, it is unknown."""
+    known = F.create_map(*(F.lit(x) for pair in STATUS_KINDS.items() for x in pair))
+    residue = F.when(status >= 500, "server").when(status >= 400, "invalid_request").otherwise("unknown")
+    return F.coalesce(F.try_element_at(known, status), residue)

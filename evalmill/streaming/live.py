@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,26 +55,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
     )
 
 
-def budget_states(costs: DataFrame, cap: float) -> DataFrame:
+def budget_states(costs: DataFrame, cap: str) -> DataFrame:
     """Known spend of each run in arrival order, and whether it has passed the cap; one row for each batch of a run.
 
-    The state of a run is its spend and count; a run without rows for an hour is forgotten.
+    Money is exact decimals. The state of a run is its spend and count; a run without rows for an hour is forgotten.
     """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        spent, n = state.get if state.exists else (0.0, 0)
+        spent, n = (Decimal(state.get[0]), state.get[1]) if state.exists else (Decimal(0), 0)
         for part in rows:
-            spent += float(part["billable"].fillna(0).sum())
+            spent += sum((Decimal(str(x)) for x in part["billable"] if x is not None), Decimal(0))
             n += len(part)
-        state.update((spent, n))
+        state.update((str(spent), n))
         state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame({"run_id": [key[0]], "spent": [spent], "n_cases": [n], "exceeded": [spent > cap]})
+        yield pd.DataFrame({"run_id": [key[0]], "spent": [spent], "n_cases": [n], "exceeded": [spent > Decimal(cap)]})
 
     return costs.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, spent double, n_cases long, exceeded boolean", "spent double, n long", "update", "ProcessingTimeTimeout"
+        step, "run_id string, spent decimal(28,12), n_cases long, exceeded boolean", "spent string, n long", "update", "ProcessingTimeTimeout"
     )
 
 
