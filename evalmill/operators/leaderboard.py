@@ -46,6 +46,26 @@ def overview(board: DataFrame) -> DataFrame:
     )
 
 
+def by_pass_rate(board: DataFrame) -> DataFrame:
+    """The best first; models without a rate come last."""
+    return board.orderBy(F.desc(F.coalesce("pass_rate", F.lit(-1.0))), "provider", "model")
+
+
+def errors_by_count(breakdown: DataFrame) -> DataFrame:
+    return breakdown.orderBy(F.desc("n"), "error")
+
+
+def filtered_runs(runs: DataFrame, **equal) -> DataFrame:
+    for column, value in equal.items():
+        runs = runs.filter(F.col("created_at") >= value) if column == "since" else runs.filter(F.col(column) == value)
+    return runs
+
+
+def count_of(rows: DataFrame) -> DataFrame:
+    """How many rows the pages of a listing share: one row, of the same filters without order and paging."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
 def list_runs(
     runs: DataFrame, metrics: DataFrame, verdicts: DataFrame, limit: int = 50, offset: int = 0, newest: bool = True, **equal
 ) -> DataFrame:
@@ -53,9 +73,7 @@ def list_runs(
 
     ``metrics`` and ``verdicts`` have run_id and pass_rate; a stored null stays null.
     """
-    rows = runs
-    for column, value in equal.items():
-        rows = rows.filter(F.col("created_at") >= value) if column == "since" else rows.filter(F.col(column) == value)
+    rows = filtered_runs(runs, **equal)
     m = metrics.select(F.col("run_id").alias("m_run"), F.col("pass_rate").alias("stored"))
     v = verdicts.select(F.col("run_id").alias("v_run"), F.col("pass_rate").alias("computed"))
     joined = rows.join(m, rows["run_id"] == m["m_run"], "left").join(v, rows["run_id"] == v["v_run"], "left")
@@ -70,6 +88,14 @@ def list_cases(
     query: str | None = None, tag: str | None = None, limit: int = 50, offset: int = 0,
 ) -> DataFrame:
     """A page of a run's cases, in their order. All filters, that of the tag too, come before paging."""
+    rows = filtered_cases(cases, run_id, status, passed, category, query, tag)
+    return rows.orderBy("case_id").offset(offset).limit(min(limit, MOST_ROWS))
+
+
+def filtered_cases(
+    cases: DataFrame, run_id: str, status: str | None = None, passed: bool | None = None, category: str | None = None,
+    query: str | None = None, tag: str | None = None,
+) -> DataFrame:
     rows = cases.filter(F.col("run_id") == run_id)
     for column, value in (("status", status), ("passed", passed), ("category", category)):
         if value is not None:
@@ -78,7 +104,7 @@ def list_cases(
         rows = rows.filter(F.col("case_id").ilike(f"%{query}%"))
     if tag is not None:
         rows = rows.filter(F.array_contains("tags", tag))
-    return rows.orderBy("case_id").offset(offset).limit(min(limit, MOST_ROWS))
+    return rows
 
 
 def is_terminal(status: str = "status"):
