@@ -79,7 +79,16 @@ def budget_states(costs: DataFrame, cap: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there, into memory; for tests and small demonstrations."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there, into memory; for tests and small demonstrations.
+
+    Batches without data are off: with a processing-time timeout they would follow each other without end.
+    """
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(empty, before)
     query.awaitTermination()
     return spark.table(name)
