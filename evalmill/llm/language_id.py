@@ -114,6 +114,8 @@ class Model:
         found = np.add.reduceat(self.log_odds[gram], first, axis=0)
         allowed = self.scripts[script]
         found = np.where(allowed, found, found.min(1, keepdims=True) - 3 * self.penalty)
+        # The same for all languages, this tells words in the script of a language from those that say nothing.
+        found += 1
         found[~allowed.any(1)] = 0
         return found.astype(np.float32)
 
@@ -189,6 +191,7 @@ def _label(model: Model, words: list[np.ndarray], scores: np.ndarray, letters: n
     rows = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
     path = viterbi(scores[rows], starts, sizes, model.penalty) if model.languages else np.zeros(len(rows), np.int16)
     weight, known = letters[rows], (scores[rows] != 0).any(1)
+    differ = scores[rows].max(1, initial=-np.inf) != scores[rows].min(1, initial=np.inf)
     out = []
     for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         if not size or not model.languages:
@@ -197,10 +200,12 @@ def _label(model: Model, words: list[np.ndarray], scores: np.ndarray, letters: n
         part = path[start : start + size]
         total = np.bincount(part, weight[start : start + size], len(model.languages))
         told = known[start : start + size].any()
-        best = int(total.argmax()) if told else model.prior
+        apart = differ[start : start + size].any()
+        best = int(total.argmax()) if apart else model.prior
+        share = float(total[best] / total.sum()) if apart else 1 / len(model.languages)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), size]
         spans = [(i, j, model.languages[part[i]]) for i, j in zip(cuts, cuts[1:], strict=False)]
-        out.append((model.languages[best], float(total[best] / total.sum()) if told else 0.0, spans))
+        out.append((model.languages[best], share if told else 0.0, spans))
     return out
 
 
