@@ -1,9 +1,8 @@
-"""JSON functions whose meaning is that of Python's ``json`` module, and a schema check."""
+"""JSON functions whose meaning is that of Python's ``json`` module."""
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from typing import Any
 
@@ -11,10 +10,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Violations that one check reports at most, and characters of each.
-MOST_VIOLATIONS = 50
-VIOLATION_CHARS = 300
-SCHEMA_DEPTH, SCHEMA_BYTES = 64, 64 * 1024
 _INFO = re.compile(r"[A-Za-z0-9_+-]*[ \t]*\r?")
 
 
@@ -59,113 +54,3 @@ def json_kind(text: str | None, fence: bool = True) -> str | None:
 @F.pandas_udf(StringType())
 def json_value_kind(text: pd.Series) -> pd.Series:
     return text.map(json_kind)
-
-
-def _is(value: Any, kind: str) -> bool:
-    if kind == "integer":
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and float(value).is_integer()
-    if kind == "number":
-        return isinstance(value, (int, float)) and not isinstance(value, bool)
-    types = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-    return kind in types and isinstance(value, types[kind])
-
-
-def _same(a: Any, b: Any) -> bool:
-    if isinstance(a, bool) != isinstance(b, bool):
-        return False
-    return a == b
-
-
-def violations(value: Any, schema: Any, path: str = "$", found: list[str] | None = None) -> list[str]:
-    """What breaks a schema, as ``path: message``.
-
-    The keywords are type, enum, const, properties, required,
-    additionalProperties, items, prefixItems, minItems, maxItems, uniqueItems,
-    minLength, maxLength, pattern, minimum, maximum, exclusiveMinimum,
-    exclusiveMaximum, multipleOf, minProperties, maxProperties, allOf, anyOf,
-    oneOf and not; others are annotations.
-    """
-    found = [] if found is None else found
-    say = lambda what: found.append(" ".join(f"{path}: {what}".split())[:VIOLATION_CHARS])
-    if schema is True or len(found) > MOST_VIOLATIONS:
-        return found
-    if schema is False:
-        say("nothing is allowed here")
-        return found
-    if "type" in schema:
-        kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        if not any(_is(value, k) for k in kinds):
-            say(f"is not of type {' or '.join(kinds)}")
-    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
-        say("is none of the listed values")
-    if "const" in schema and not _same(value, schema["const"]):
-        say("is not the required value")
-    if isinstance(value, str):
-        for key, wrong in (("minLength", len(value) < schema.get("minLength", 0)), ("maxLength", len(value) > schema.get("maxLength", math.inf))):
-            if wrong:
-                say(f"breaks {key} {schema[key]}")
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            say("does not match the pattern")
-    if _is(value, "number"):
-        limits = {
-            "minimum": lambda v, x: v < x, "maximum": lambda v, x: v > x,
-            "exclusiveMinimum": lambda v, x: v <= x, "exclusiveMaximum": lambda v, x: v >= x,
-            "multipleOf": lambda v, x: not float(v / x).is_integer(),
-        }
-        for key, breaks in limits.items():
-            if key in schema and breaks(value, schema[key]):
-                say(f"breaks {key} {schema[key]}")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        for name in schema.get("required", []):
-            if name not in value:
-                say(f"lacks the property {name!r}")
-        for key, wrong in (("minProperties", len(value) < schema.get("minProperties", 0)), ("maxProperties", len(value) > schema.get("maxProperties", math.inf))):
-            if wrong:
-                say(f"breaks {key} {schema[key]}")
-        for name, part in value.items():
-            if name in known:
-                violations(part, known[name], f"{path}.{name}", found)
-            elif schema.get("additionalProperties") is False:
-                say(f"has the unexpected property {name!r}")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                violations(part, schema["additionalProperties"], f"{path}.{name}", found)
-    if isinstance(value, list):
-        for key, wrong in (("minItems", len(value) < schema.get("minItems", 0)), ("maxItems", len(value) > schema.get("maxItems", math.inf))):
-            if wrong:
-                say(f"breaks {key} {schema[key]}")
-        if schema.get("uniqueItems") and len({canonical(x) for x in value}) < len(value):
-            say("repeats an item")
-        first = schema.get("prefixItems", [])
-        for i, part in enumerate(value):
-            rule = first[i] if i < len(first) else schema.get("items", True)
-            violations(part, rule, f"{path}[{i}]", found)
-    for rule in schema.get("allOf", []):
-        violations(value, rule, path, found)
-    if "anyOf" in schema and all(violations(value, rule, path) for rule in schema["anyOf"]):
-        say("fits none of the alternatives")
-    if "oneOf" in schema and sum(not violations(value, rule, path) for rule in schema["oneOf"]) != 1:
-        say("does not fit just one of the alternatives")
-    if "not" in schema and not violations(value, schema["not"], path):
-        say("fits what is excluded")
-    return found
-
-
-def scan_schema(schema: Any, depth: int = 0) -> dict[str, Any]:
-    """Depth, whether it uses patterns, and the first remote reference of a schema; too large ones raise."""
-    if depth == 0 and len(json.dumps(schema).encode()) > SCHEMA_BYTES:
-        raise ValueError(f"the schema is larger than {SCHEMA_BYTES} bytes")
-    if depth > SCHEMA_DEPTH:
-        raise ValueError(f"the schema is nested deeper than {SCHEMA_DEPTH}")
-    out = {"depth": depth, "patterns": False, "remote": None}
-    parts = schema.items() if isinstance(schema, dict) else enumerate(schema) if isinstance(schema, list) else ()
-    for key, part in parts:
-        out["patterns"] |= key in ("pattern", "patternProperties")
-        if key == "$ref" and isinstance(part, str) and not part.startswith("#"):
-            out["remote"] = out["remote"] or part
-        if isinstance(part, (dict, list)):
-            inner = scan_schema(part, depth + 1)
-            out["depth"] = max(out["depth"], inner["depth"])
-            out["patterns"] |= inner["patterns"]
-            out["remote"] = out["remote"] or inner["remote"]
-    return out

@@ -7,20 +7,25 @@ missing expectation ``missing_expected``; both beat every other result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import regex as timed
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalmill.functions import documents, text
+from evalmill.functions.schemas import Schema
 from evalmill.functions.stats import clip, cosine_similarity, is_close
 
 Evaluator = Callable[[Column, Column], Column]
 RESULT = "struct<status:string,passed:boolean,score:double,raw:double,error:string>"
 PATTERN_CHARS, SUBJECT_CHARS = 1000, 1_000_000
+#: Seconds that one pattern may take over one text.
+MATCH_SECONDS = 1.0
 
 
 def result(passed: Column, score: Column | None = None, raw: Column | None = None) -> Column:
@@ -79,26 +84,42 @@ def contains(values: list[str], mode: str = "all", case_sensitive: bool = True)
     return build
 
 
-def regex(pattern: str, must_match: bool = True, ignore_case=False, multiline=False, dotall=False, fullmatch=False) -> Evaluator:
-    """Patterns mean what Python's ``re`` says; those that Java reads alike stay in the JVM."""
+def regex(
+    pattern: str, must_match: bool = True, ignore_case: bool = False, multiline: bool = False, dotall: bool = False,
+    fullmatch: bool = False, seconds: float = MATCH_SECONDS,
+) -> Evaluator:
+    """Patterns mean what Python's ``re`` says; those that Java reads alike, with one open repetition at most, stay in the JVM.
+
+    Of others, a text that takes longer than ``seconds`` is an error ``regex_timeout``.
+    """
     if len(pattern) > PATTERN_CHARS:
         raise ValueError(f"the pattern is longer than {PATTERN_CHARS} characters")
-    flags = re.I * ignore_case | re.M * multiline | re.S * dotall
-    compiled = re.compile(pattern, flags)
-    plain = re.fullmatch(r"(?:[A-Za-z0-9 _,:;=@#%&\"'<>/!~-]|\[[A-Za-z0-9 _-]+\]|[.+*?^]|\\[.dD]|\((?!\?)|\)|\|)*", pattern)
+    re.compile(pattern)
+    simple = re.fullmatch(r"(?:[A-Za-z0-9 _,:;=@#%&\"'<>/!~-]|\[[A-Za-z0-9 _-]+\]|[.+*?^]|\\\.|\((?!\?)|\)(?![+*?])|\|)*", pattern)
+    plain = simple and len(re.findall(r"[+*]", pattern)) < 2 and not (ignore_case or multiline)
+    flags = timed.I * ignore_case | timed.M * multiline | timed.S * dotall
+    compiled = None if plain else timed.compile(pattern, flags | timed.V0)
 
-    @F.pandas_udf("boolean")
-    def matched(subject: pd.Series) -> pd.Series:
+    def hit(subject: str | None) -> str | None:
         find = compiled.fullmatch if fullmatch else compiled.search
-        return subject.map(lambda s: None if s is None else find(s[:SUBJECT_CHARS]) is not None)
+        try:
+            return None if subject is None else str(find(subject[:SUBJECT_CHARS], timeout=seconds) is not None).lower()
+        except TimeoutError:
+            return "regex_timeout"
+
+    @F.pandas_udf("string")
+    def outcomes(subject: pd.Series) -> pd.Series:
+        return subject.map(hit)
 
     def build(output: Column, _: Column) -> Column:
-        if plain and not ignore_case:
-            mark = "(?" + "m" * multiline + "s" * dotall + ")" if multiline or dotall else ""
-            hit = F.substring(output, 1, SUBJECT_CHARS).rlike(mark + (f"\\A(?:{pattern})\\z" if fullmatch else pattern))
-        else:
-            hit = matched(output)
-        return guarded(result(hit == F.lit(must_match)), output)
+        if plain:
+            # The flag d leaves the line feed as the only end of a line, as in Python.
+            mark = "(?ds)" if dotall else "(?d)"
+            found = F.substring(output, 1, SUBJECT_CHARS).rlike(mark + (f"\\A(?:{pattern})\\z" if fullmatch else pattern))
+            return guarded(result(found == F.lit(must_match)), output)
+        seen = outcomes(output)
+        late = F.when(seen == "regex_timeout", error("regex_timeout"))
+        return guarded(late.otherwise(result((seen == "true") == F.lit(must_match))), output)
 
     return build
 
@@ -129,18 +150,15 @@ def json_valid(require_object: bool = False, allow_markdown_fence: bool = True)
 
 def json_schema(schema: dict, allow_markdown_fence: bool = True) -> Evaluator:
     """Score 1 / (violations + 1); a text that doesn't parse fails with score 0."""
-    documents.scan_schema(schema)
+    checked = Schema(schema)
 
     def count(subject: str | None) -> int | None:
-        import json
-
         if subject is None:
             return None
         try:
-            value = json.loads(documents.unwrap(subject) if allow_markdown_fence else subject)
+            return len(checked.violations(json.loads(documents.unwrap(subject) if allow_markdown_fence else subject)))
         except (ValueError, RecursionError):
             return -1
-        return min(len(documents.violations(value, schema)), documents.MOST_VIOLATIONS)
 
     @F.pandas_udf("int")
     def wrong(subject: pd.Series) -> pd.Series:
