@@ -7,14 +7,16 @@ is undefined, so that each can stand in any aggregation or projection.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 Z_95 = 1.959963984540054
 Z_POWER_80 = 0.8416212335729143
+#: Terms that the tail of McNemar's test has at most where it is summed from its first.
+FEW_TERMS = 1000
 #: A percentile of fewer values is marked as of low confidence.
 PERCENTILE_GATES = (("p50_ms", 5), ("p90_ms", 10), ("p95_ms", 20), ("p99_ms", 100))
 
@@ -73,33 +75,39 @@ def newcombe_interval(a: Column, b: Column, c: Column, d: Column, z: float = Z_9
     return -((p1 - p2) + high), -((p1 - p2) - low)
 
 
-def mcnemar_exact(b: Column, c: Column) -> Column:
-    """The exact two-sided p-value of discordant pairs, folded in log space; 1 for none.
-
-    log C(n, k + 1) follows from log C(n, k) by one division, so the sum needs
-    no factorials and stays within whole-stage expressions.
-    """
-    n, low = (b + c).cast("long"), F.least(b, c).cast("long")
-    start = F.struct(
-        (-_double(n) * math.log(2)).alias("term"), F.exp(-_double(n) * math.log(2)).alias("total")
-    )
+def _summed(steps: Column, first: Column, ratio: Callable[[Column], Column]) -> Column:
+    """first + first * r1 + first * r1 * r2 + ..., of logarithms of the terms."""
+    start = F.struct(first.alias("term"), F.exp(first).alias("total"))
 
     def add(acc: Column, k: Column) -> Column:
-        term = acc["term"] + F.log(_double(n - k + 1) / _double(k))
+        term = acc["term"] + F.log(ratio(_double(k)))
         return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
 
-    steps = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(steps, start, add, lambda acc: acc["total"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return F.aggregate(steps, start, add, lambda acc: acc["total"])
 
 
-@F.udf(DoubleType())
-def mcnemar_by_integers(b, c):
-    """The same by exact integers, for where the last digits matter."""
-    if b is None or c is None:
-        return None
-    n = b + c
-    return 1.0 if not n else min(1.0, 2 * sum(math.comb(n, k) for k in range(min(b, c) + 1)) / 2**n)
+def mcnemar_exact(b: Column, c: Column) -> Column:
+    """The exact two-sided p-value of discordant pairs, folded in log space; 1 for none.
+
+    Up to ``FEW_TERMS`` terms are summed from C(n, 0) on, each from the last by
+    one division. Beyond, the sum starts at its largest term, taken from
+    Stirling's series, and runs down for seven square roots of n: what is left
+    out is under one part in 1e30, and the work grows with that root only.
+    """
+    n, low = (b + c).cast("long"), F.least(b, c).cast("long")
+    nd, k = _double(n), _double(low)
+    none, one = F.array().cast("array<bigint>"), F.lit(1).cast("long")
+    few = F.when((low > 0) & (low <= FEW_TERMS), F.sequence(one, low)).otherwise(none)
+    short = _summed(few, -nd * math.log(2), lambda i: (nd - i + 1) / i)
+
+    x, rest = (nd - 2 * k) / nd, nd - k
+    bulk = -nd / 2 * ((1 - x) * F.log1p(-x) + (1 + x) * F.log1p(x))
+    series = (1 / nd - 1 / k - 1 / rest) / 12 - (F.pow(nd, -3) - F.pow(k, -3) - F.pow(rest, -3)) / 360
+    largest = bulk + F.log(nd / (2 * math.pi * k * rest)) / 2 + series
+    down = F.sequence(low, F.greatest(one, low - F.ceil(7 * F.sqrt(nd))), F.lit(-1).cast("long"))
+    long = _summed(F.when(low > FEW_TERMS, down).otherwise(none), largest, lambda i: i / (nd - i + 1))
+    tail = F.when(low > FEW_TERMS, long).otherwise(short)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def _needed(delta: Column, p1: Column, z_alpha: float, z_power: float) -> Column:

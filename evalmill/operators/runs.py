@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds that a rate limit closes the gate at most.
-LONGEST_COOLDOWN = 120.0
+#: Seconds that a rate limit closes the gate at most, and where it names none.
+LONGEST_COOLDOWN, USUAL_COOLDOWN = 120.0, 1.0
 
 
 def retry_delays(
@@ -28,10 +28,22 @@ def retry_delays(
 
 
 def gate_closings(limits: DataFrame) -> DataFrame:
-    """When a provider's gate reopens after each rate limit: the latest deadline so far wins."""
-    until = F.col("at") + F.least(F.col("retry_after"), F.lit(LONGEST_COOLDOWN))
-    order = Window.partitionBy("provider").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return limits.withColumn("closed_until", F.max(until).over(order))
+    """When a provider's gate reopens after each rate limit: the latest deadline so far wins.
+
+    A wait of zero or none is the usual one. A provider's log is split by the hour, and the latest deadline of the hours
+    before is carried on: no task reads a provider's whole log.
+    """
+    named = F.when(F.col("retry_after") != 0, F.greatest(F.col("retry_after"), F.lit(0.0)))
+    until = F.col("at") + F.least(F.coalesce(named, F.lit(USUAL_COOLDOWN)), F.lit(LONGEST_COOLDOWN))
+    hour = F.floor(F.col("at") / 3600)
+    rows = limits.withColumns({"gate_until": until, "gate_hour": hour})
+    hours = rows.groupBy(F.col("provider").alias("of"), F.col("gate_hour").alias("in_hour")).agg(F.max("gate_until").alias("last"))
+    before = Window.partitionBy("of").orderBy("in_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("of", "in_hour", F.max("last").over(before).alias("carried"))
+    joined = rows.join(hours, rows["provider"].eqNullSafe(hours["of"]) & rows["gate_hour"].eqNullSafe(hours["in_hour"]))
+    order = Window.partitionBy("provider", "gate_hour").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.greatest(F.max("gate_until").over(order), "carried")
+    return joined.withColumn("closed_until", latest).drop("gate_until", "gate_hour", "of", "in_hour", "carried")
 
 
 def sweep_stale(runs: DataFrame, before: Column) -> DataFrame:
