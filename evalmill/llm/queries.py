@@ -15,6 +15,7 @@ from evalmill.llm import (
     ngram_lm,
     packing,
     sentencepiece_codec,
+    sharding,
     simhash,
     topk,
     toxicity,
@@ -108,6 +109,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def _escaped_sql(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '{chat_format.ESC}', '{chat_format.ESC}e')"
     for control in chat_format.CONTROLS:
@@ -190,6 +198,7 @@ _QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_exact_topk": op10_exact_topk,
+    "op11_ring_sharding": op11_ring_sharding,
 }
 
 
