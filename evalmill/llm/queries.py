@@ -19,6 +19,7 @@ from evalmill.llm import (
     simhash,
     topk,
     toxicity,
+    vector_codes,
 )
 from evalmill.session import ship_package
 
@@ -116,6 +117,10 @@ def op11_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_with_label_errors(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def _escaped_sql(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '{chat_format.ESC}', '{chat_format.ESC}e')"
     for control in chat_format.CONTROLS:
@@ -187,6 +192,48 @@ FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 10
 """
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Every round compares each part with each entry."""
+    near = """near{n} AS MATERIALIZED (
+  SELECT vec, p, any_value(x) AS x, min({{'d': d, 'e': entry}}) AS best
+  FROM (SELECT vec, p, x, entry,
+               list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM piece JOIN book{n} USING (p))
+  GROUP BY vec, p)"""
+    book = """book{m} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.c, b.c) AS c
+  FROM book{n} b LEFT JOIN (
+    SELECT p, entry, list(mean ORDER BY i) AS c
+    FROM (SELECT p, best.e AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS mean
+          FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM near{n}) GROUP BY p, best.e, i)
+    GROUP BY p, entry) m USING (p, entry))"""
+    steps = [near.format(n=0)]
+    for n in range(rounds):
+        steps += [book.format(n=n, m=n + 1), near.format(n=n + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS vec, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+piece AS MATERIALIZED (
+  SELECT vec, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x
+  FROM (SELECT vec, v, unnest(range(16)) AS p FROM kept)),
+book0 AS MATERIALIZED (SELECT p, vec - 1 AS entry, x AS c FROM piece WHERE vec <= 64),
+{", ".join(steps)},
+coded AS (
+  SELECT vec, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec),
+books AS (
+  SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256
+  FROM (SELECT p, entry, unnest(c) AS c, unnest(range(len(c))) AS i FROM book{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (vec) CROSS JOIN books
+"""
+
+
 _QUERIES: dict[str, Query] = {
     "op1_backoff_scores": op1_backoff_scores,
     "op2_html_extraction": op2_html_extraction,
@@ -199,6 +246,7 @@ _QUERIES: dict[str, Query] = {
     "op9_chat_format": op9_chat_format,
     "op10_exact_topk": op10_exact_topk,
     "op11_ring_sharding": op11_ring_sharding,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 
@@ -214,4 +262,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_backoff_scores": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_backoff_scores": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL, "op12_vector_codes": _lloyd_sql(2)}
