@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalmill.llm import (
     chat_format,
+    divergence,
     exact_dedup,
     html_extract,
     language_id,
@@ -121,6 +122,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded_with_label_errors(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)
+
+
 def _escaped_sql(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '{chat_format.ESC}', '{chat_format.ESC}e')"
     for control in chat_format.CONTROLS:
@@ -193,6 +198,40 @@ QUALIFY row_number() OVER best <= 10
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+occurs AS (
+  SELECT doc, lang, source, term, count(*) AS n
+  FROM (SELECT doc, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM occurs GROUP BY ALL HAVING count(*) >= 10),
+counts AS MATERIALIZED (SELECT lang, source, term, CAST(sum(o.n) AS HUGEINT) AS n FROM occurs o JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t USING (lang, source)),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * l.v) AS BIGINT) AS p,
+         CAST(1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER best AS INTEGER) AS rank
+FROM found WINDOW best AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER best <= 10
+"""
+
 
 def _lloyd_sql(rounds: int) -> str:
     """Every round compares each part with each entry."""
@@ -247,6 +286,7 @@ _QUERIES: dict[str, Query] = {
     "op10_exact_topk": op10_exact_topk,
     "op11_ring_sharding": op11_ring_sharding,
     "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -262,4 +302,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_backoff_scores": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_topk": OP10_SQL, "op12_vector_codes": _lloyd_sql(2)}
+    return {
+        "op1_backoff_scores": OP1_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op9_chat_format": OP9_SQL,
+        "op10_exact_topk": OP10_SQL,
+        "op12_vector_codes": _lloyd_sql(2),
+        "op13_source_divergence": OP13_SQL,
+    }
