@@ -12,9 +12,9 @@ number of terms that have it. Where neither source of a pair has a term, f is
 the same for all such terms, and only their number counts. The ranking of terms
 is of the terms themselves.
 
-Texts are read twice, once without the texts. A text's terms are exploded with
-their number and counted before they are shuffled; so are distinct vectors, and
-ranks are cut in each task first. Pairs are summed in numpy over batches of
+Documents are read twice, once without the texts. Terms are counted in each task
+before they are shuffled; so are distinct vectors, and ranks are cut in each
+task first. Pairs are summed in numpy over batches of
 vectors; a task sends one figure for each pair of sources of a language.
 
 Defined results: a null text, lang or source counts as ''. A group without terms
@@ -26,6 +26,7 @@ Other columns are passed over. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +37,22 @@ from pyspark.sql import functions as F
 from evalmill.llm.batches import bound_batches
 from evalmill.session import stage
 
-#: Letters: A-Z, a-z and all beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A text's bytes with A-Z lower-cased and all other ASCII as blanks; what is beyond ASCII is part of a term.
+LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Bytes of a text that are split at a time, and counts that a task holds.
+PIECE, MOST_HELD = 1 << 20, 200_000
 PARTS = 1_000_000_000
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text, in order, with A-Z lower-cased."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
+def pieces_of_terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in lists of bounded size."""
+    letters = text.translate(LETTERS)
+    since = 0
+    while since < len(letters):
+        until = letters.find(b" ", since + PIECE)
+        until = len(letters) if until < 0 else until
+        yield letters[since:until].split()
+        since = until
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -59,20 +65,44 @@ def divergence(p: str, q: str) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that have the term."""
+    """(lang, source, term, n, docs): occurrences, and documents that have the term.
+
+    Texts are split as bytes, which is the same as splitting characters: a
+    term's neighbours are ASCII. Each task counts before it sends anything, and
+    sends its counts when it holds ``MOST_HELD``.
+    """
     named = docs.select(
         F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"),
         F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"),
-        terms_of(F.coalesce(docs["text"], F.lit(""))).alias("terms"),
-    )
-    # Each occurrence counts as one; a document's distinct terms follow, and count as documents.
-    once = lambda kind: lambda t: F.struct(t.alias("term"), F.lit(kind).alias("n"))
-    marked = F.concat(F.transform("terms", once(1)), F.transform(F.array_distinct("terms"), once(0)))
-    each = named.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.n")
-    return each.groupBy("lang", "source", "term").agg(
-        F.sum(F.col("n").cast("long")).alias("n"), F.sum((1 - F.col("n")).cast("long")).alias("docs")
+        F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"),
     )
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, in_docs) in held.items():
+                terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
+                same = lambda x, size=len(n): pa.array([x]).take(pa.array(np.zeros(size, np.int64)))
+                columns = [same(lang), same(source), terms, pa.array(n.values(), pa.int64())]
+                yield pa.record_batch([*columns, pa.array([in_docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
+                distinct: set[bytes] = set()
+                for terms in pieces_of_terms(text):
+                    n.update(terms)
+                    distinct.update(terms)
+                in_docs.update(distinct)
+            if sum(len(n) for n, _ in held.values()) > MOST_HELD:
+                yield from sent()
+        yield from sent()
+
+    counted = named.mapInArrow(each, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
 
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
     """(lang, term, n, vector) of the terms in enough documents of the language; ``vector`` holds (source, n) by source."""
