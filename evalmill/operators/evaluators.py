@@ -13,22 +13,22 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-import regex as timed
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalmill.functions import documents, text
+from evalmill.functions import documents, patterns, text
 from evalmill.functions.schemas import Schema
 from evalmill.functions.stats import clip, cosine_similarity, is_close
 
 Evaluator = Callable[[Column, Column], Column]
-RESULT = "struct<status:string,passed:boolean,score:double,raw:double,error:string>"
+#: ``detail`` is a JSON object of what an evaluator saw, null where it has nothing to say.
+RESULT = "struct<status:string,passed:boolean,score:double,raw:double,error:string,detail:string>"
 PATTERN_CHARS, SUBJECT_CHARS = 1000, 1_000_000
 #: Seconds that one pattern may take over one text.
 MATCH_SECONDS = 1.0
 
 
-def result(passed: Column, score: Column | None = None, raw: Column | None = None) -> Column:
+def result(passed: Column, score: Column | None = None, raw: Column | None = None, detail: Column | None = None) -> Column:
     """A verdict; without a score a pass is 1 and a failure 0."""
     score = F.when(passed, F.lit(1.0)).otherwise(F.lit(0.0)) if score is None else score
     none = F.lit(None)
@@ -38,14 +38,20 @@ def result(passed: Column, score: Column | None = None, raw: Column | None = Non
         score.cast("double").alias("score"),
         (none if raw is None else raw).cast("double").alias("raw"),
         none.cast("string").alias("error"),
+        (none if detail is None else detail).cast("string").alias("detail"),
     ).cast(RESULT)
 
 
+def as_detail(**parts: Column) -> Column:
+    """A JSON object of these columns, nulls included."""
+    return F.to_json(F.struct(*(c.alias(name) for name, c in parts.items())), {"ignoreNullFields": "false"})
+
+
 def error(kind: str) -> Column:
     none = F.lit(None)
     return F.struct(
         F.lit("error").alias("status"), none.cast("boolean").alias("passed"), none.cast("double").alias("score"),
-        none.cast("double").alias("raw"), F.lit(kind).alias("error"),
+        none.cast("double").alias("raw"), F.lit(kind).alias("error"), none.cast("string").alias("detail"),
     ).cast(RESULT)
 
 
@@ -77,49 +83,39 @@ def contains(values: list[str], mode: str = "all", case_sensitive: bool = True)
     def build(output: Column, _: Column) -> Column:
         subject = output if case_sensitive else text.casefold(output)
         wanted = values if case_sensitive else [v.casefold() for v in values]
-        found = sum((F.contains(subject, F.lit(v)).cast("int") for v in wanted), F.lit(0))
+        absent = [F.when(~F.contains(subject, F.lit(w)), F.lit(v)) for v, w in zip(values, wanted, strict=True)]
+        missing = F.filter(F.array(*absent), lambda v: v.isNotNull())
+        found = len(wanted) - F.size(missing)
         passed = found == len(wanted) if mode == "all" else found > 0
-        return guarded(result(passed, found / len(wanted), found), output)
+        detail = as_detail(mode=F.lit(mode), n_found=found, missing=missing)
+        return guarded(result(passed, found / len(wanted), found, detail), output)
 
     return build
 
 
 def regex(
-    pattern: str, must_match: bool = True, ignore_case: bool = False, multiline: bool = False, dotall: bool = False,
-    fullmatch: bool = False, seconds: float = MATCH_SECONDS,
+    pattern: str, must_match: bool = True, group: int | None = None, ignore_case: bool = False, multiline: bool = False,
+    dotall: bool = False, fullmatch: bool = False, seconds: float = MATCH_SECONDS,
 ) -> Evaluator:
-    """Patterns mean what Python's ``re`` says; those that Java reads alike, with one open repetition at most, stay in the JVM.
+    """Patterns mean what Python's ``re`` says, in the JVM where :mod:`patterns` can say it there.
 
-    Of others, a text that takes longer than ``seconds`` is an error ``regex_timeout``.
+    A text that takes longer than ``seconds`` in Python is an error
+    ``regex_timeout``. ``detail`` tells whether it matched, and with ``group``
+    what that group captured.
     """
     if len(pattern) > PATTERN_CHARS:
         raise ValueError(f"the pattern is longer than {PATTERN_CHARS} characters")
-    re.compile(pattern)
-    simple = re.fullmatch(r"(?:[A-Za-z0-9 _,:;=@#%&\"'<>/!~-]|\[[A-Za-z0-9 _-]+\]|[.+*?^]|\\\.|\((?!\?)|\)(?![+*?])|\|)*", pattern)
-    plain = simple and len(re.findall(r"[+*]", pattern)) < 2 and not (ignore_case or multiline)
-    flags = timed.I * ignore_case | timed.M * multiline | timed.S * dotall
-    compiled = None if plain else timed.compile(pattern, flags | timed.V0)
-
-    def hit(subject: str | None) -> str | None:
-        find = compiled.fullmatch if fullmatch else compiled.search
-        try:
-            return None if subject is None else str(find(subject[:SUBJECT_CHARS], timeout=seconds) is not None).lower()
-        except TimeoutError:
-            return "regex_timeout"
-
-    @F.pandas_udf("string")
-    def outcomes(subject: pd.Series) -> pd.Series:
-        return subject.map(hit)
+    flags = re.I * ignore_case | re.M * multiline | re.S * dotall
+    groups = re.compile(pattern, flags).groups
+    if group is not None and not 0 <= group <= groups:
+        raise ValueError(f"the pattern has {groups} groups, and no group {group}")
 
     def build(output: Column, _: Column) -> Column:
-        if plain:
-            # The flag d leaves the line feed as the only end of a line, as in Python.
-            mark = "(?ds)" if dotall else "(?d)"
-            found = F.substring(output, 1, SUBJECT_CHARS).rlike(mark + (f"\\A(?:{pattern})\\z" if fullmatch else pattern))
-            return guarded(result(found == F.lit(must_match)), output)
-        seen = outcomes(output)
-        late = F.when(seen == "regex_timeout", error("regex_timeout"))
-        return guarded(late.otherwise(result((seen == "true") == F.lit(must_match))), output)
+        found = patterns.found_in(F.substring(output, 1, SUBJECT_CHARS), pattern, flags, fullmatch, group, seconds)
+        matched = found["state"] == "true"
+        said = {"matched": matched} | ({"captured": found["captured"]} if group is not None else {})
+        failed = F.when(found["state"] == patterns.LATE, error(patterns.LATE)).when(found["state"] == "regex_error", error("regex_error"))
+        return guarded(failed.otherwise(result(matched == F.lit(must_match), detail=as_detail(**said))), output)
 
     return build
 
