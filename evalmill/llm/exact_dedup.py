@@ -24,9 +24,6 @@ from evalmill.session import delete_path, shared_dir, stage
 
 INDEX_SCHEMA = "digest binary, keep_id long"
 
-#: Rows of a doc_id and a digest, some 100 bytes each, that are broadcast at most.
-SHORT_LIST = 200_000
-
 
 class DigestIndex:
     """A bucketed, sorted table of the digests seen so far, each with the doc_id that stays."""
@@ -100,16 +97,12 @@ def digest_report(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def _short(staged: DataFrame) -> DataFrame:
-    return F.broadcast(staged) if staged.count() <= SHORT_LIST else staged
-
-
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Only keys are grouped; the texts meet a list of the rows that go, which is
-    broadcast if it has at most ``SHORT_LIST`` rows; beyond, Spark chooses the
-    join. Rows that repeat doc_id and text are shuffled by both.
+    Only keys are grouped. The texts meet the written list of the rows that go
+    once, by doc_id and digest, in the join that Spark chooses for its size.
+    Rows that repeat doc_id and text are shuffled by both.
     """
     keys = stage(digest_report(docs, index).select("doc_id", F.unhex("text_sha256").alias("of"), "kept"), "digest-report")
     gone = keys.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "of")
@@ -118,6 +111,6 @@ def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.unhex(text_digest()).alias("digest"))
     same = lambda other: F.col("row.doc_id").eqNullSafe(other["gone_id"]) & (packed["digest"] == other["of"])
     out = stage(gone.unionByName(twice).distinct(), "digest-gone")
-    once = packed.join(_short(out), same(out), "left_anti").select("row.*")
-    repeated = packed.join(_short(twice), same(twice), "left_semi").dropDuplicates(["digest"]).select("row.*")
+    once = packed.join(out, same(out), "left_anti").select("row.*")
+    repeated = packed.join(twice, same(twice), "left_semi").dropDuplicates(["digest"]).select("row.*")
     return once.unionByName(repeated)
