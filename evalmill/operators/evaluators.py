@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalmill.functions import documents, patterns, text
-from evalmill.functions.schemas import Schema
+from evalmill.functions.schemas import SECONDS, VIOLATION_CHARS, Schema
 from evalmill.functions.stats import clip, cosine_similarity, is_close
 
 Evaluator = Callable[[Column, Column], Column]
@@ -144,27 +144,43 @@ def json_valid(require_object: bool = False, allow_markdown_fence: bool = True)
     return build
 
 
-def json_schema(schema: dict, allow_markdown_fence: bool = True) -> Evaluator:
-    """Score 1 / (violations + 1); a text that doesn't parse fails with score 0."""
+def json_schema(schema: dict, allow_markdown_fence: bool = True, seconds: float = SECONDS) -> Evaluator:
+    """Score 1 / (violations + 1); a text that doesn't parse fails with score 0.
+
+    A schema with patterns that takes longer than ``seconds`` over a text, or
+    meets a longer one than it may, is an error. ``detail`` lists the violations.
+    """
     checked = Schema(schema)
 
-    def count(subject: str | None) -> int | None:
-        if subject is None:
-            return None
+    def one(subject: str) -> tuple[int | None, str | None, str | None]:
+        payload = documents.unwrap(subject) if allow_markdown_fence else subject
         try:
-            return len(checked.violations(json.loads(documents.unwrap(subject) if allow_markdown_fence else subject)))
-        except (ValueError, RecursionError):
-            return -1
-
-    @F.pandas_udf("int")
-    def wrong(subject: pd.Series) -> pd.Series:
-        return subject.map(count).astype("Int32")
+            value = json.loads(payload)
+        except (ValueError, RecursionError) as e:
+            return -1, None, json.dumps({"n_errors": 1, "errors": [f"$: the text is no JSON: {e}"[:VIOLATION_CHARS]]})
+        if checked.patterned and len(payload) > SUBJECT_CHARS:
+            return None, "schema_instance_too_large", None
+        try:
+            found = checked.violations(value, seconds)
+        except TimeoutError:
+            return None, "schema_timeout", None
+        except (RecursionError, MemoryError):
+            return None, "schema_error", None
+        return len(found), None, json.dumps({"n_errors": len(found), "errors": found}, ensure_ascii=False)
+
+    @F.pandas_udf("n int, error string, detail string")
+    def wrong(subject: pd.Series) -> pd.DataFrame:
+        # Equal texts of a batch are checked once.
+        known = {t: one(t) for t in subject.dropna().unique()}
+        rows = [(None, None, None) if t is None else known[t] for t in subject]
+        return pd.DataFrame({"n": pd.array([r[0] for r in rows], "Int32"), "error": [r[1] for r in rows], "detail": [r[2] for r in rows]})
 
     def build(output: Column, _: Column) -> Column:
-        n = wrong(output)
-        unread = n < 0
-        found = result(n == 0, F.when(unread, 0.0).otherwise(1.0 / (n + 1)), F.when(unread, 1).otherwise(n))
-        return guarded(found, output)
+        seen = wrong(output)
+        n, unread = seen["n"], seen["n"] < 0
+        found = result(n == 0, F.when(unread, 0.0).otherwise(1.0 / (n + 1)), F.when(unread, 1).otherwise(n), seen["detail"])
+        failed = F.when(seen["error"].isNotNull(), error("schema").withField("error", seen["error"]))
+        return guarded(failed.otherwise(found), output)
 
     return build
 

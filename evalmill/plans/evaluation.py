@@ -74,6 +74,32 @@ SELECT event_id, CASE WHEN wrong = 0 THEN 'passed' ELSE 'failed' END AS status,
   {r("CASE WHEN wrong < 0 THEN 0.0 ELSE 1.0 / (wrong + 1) END", "score")}, CAST(abs(wrong) AS DOUBLE) AS raw FROM v"""
 
 
+TRACKED = {
+    "$ref": "#/$defs/part",
+    "anyOf": [{"required": ["even"], "properties": {"even": {"const": True}}}, {"required": ["k"], "properties": {"k": {"minimum": 50}}}],
+    "patternProperties": {"^x_": {"type": "string"}},
+    "unevaluatedProperties": False,
+    "$defs": {"part": {"properties": {"n": {"type": "array", "prefixItems": [{"type": "integer"}], "unevaluatedItems": {"type": "string"}}}}},
+}
+_TRACKED_TEXT = """concat('{{"k": ', {json}(props, '$.k'), CASE WHEN event_id % 2 = 0 THEN ', "even": true' ELSE '' END, CASE event_id % 5 WHEN 1 THEN ', "x_1": "a"' WHEN 2 THEN ', "x_1": 1'
+  WHEN 3 THEN ', "y": 1' ELSE '' END, CASE event_id % 3 WHEN 1 THEN ', "n": [1, "a"]' WHEN 2 THEN ', "n": [1, 2]' ELSE '' END, '}}')"""
+
+
+def _tracked(spark, sf):
+    texts = table(spark, sf, "events").select("event_id", F.expr(_TRACKED_TEXT.format(json="get_json_object")).alias("output_text"))
+    found = evaluators.json_schema(TRACKED)(F.col("output_text"), F.lit(""))
+    return texts.withColumn("e", found).select("event_id", "e.status", "e.passed", "e.score", "e.raw", "e.error")
+
+
+# One violation each: neither alternative fits (k is then not evaluated), a number for x_1, y, k that only the even alternative leaves, the second item of n.
+_TRACKED_SQL = f"""WITH p AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+f AS (SELECT event_id, event_id % 2 = 0 AS even, k >= 50 AS large FROM p),
+v AS (SELECT event_id, CASE WHEN even OR large THEN 0 ELSE 1 END + CASE WHEN event_id % 5 IN (2, 3) THEN 1 ELSE 0 END
+    + CASE WHEN large THEN 0 ELSE 1 END + CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS wrong FROM f)
+SELECT event_id, CASE WHEN wrong = 0 THEN 'passed' ELSE 'failed' END AS status, wrong = 0 AS passed, {r("1.0 / (wrong + 1)", "score")}, CAST(wrong AS DOUBLE) AS raw,
+  CAST(NULL AS VARCHAR) AS error FROM v"""
+
+
 def _semantic(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     after = vectors.select((F.col("vec_id") - 1).alias("before"), F.col("embedding").alias("other"))
@@ -235,6 +261,7 @@ ENTRIES = [
         "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'passed' ELSE 'failed' END AS status, event_id % 4 < 2 AS passed, CASE WHEN event_id % 4 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM events",
     ),
     entry("eval_json_schema", _json_schema, _SCHEMA_SQL),
+    entry("eval_json_schema_tracked", _tracked, _TRACKED_SQL),
     entry("judge_parse", _judge_parse, _JUDGED),
     entry("judge_panel", lambda s, d: judge.panel_scores(_ratings(s, d)), _PANEL.format(how="median(raw)")),
     entry("judge_panel_majority", lambda s, d: judge.panel_scores(_ratings(s, d), "majority"), _PANEL.format(how=_MAJORITY)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,9 +38,48 @@ CASES = [
     ({"not": {"type": "null"}}, None, 1),
     ({"format": "date"}, "no date", 0),
 ]
+D7, D2019 = {"$schema": "http://json-schema.org/draft-07/schema#"}, {"$schema": "https://json-schema.org/draft/2019-09/schema"}
+OPEN = {"allOf": [{"properties": {"a": {"type": "integer"}}}], "anyOf": [{"required": ["b"], "properties": {"b": True}}, {"required": ["c"], "properties": {"c": True}}]}
+CLOSED = {**OPEN, "unevaluatedProperties": False}
+LIST = {"prefixItems": [{"type": "string"}], "contains": {"type": "integer"}, "unevaluatedItems": {"type": "null"}}
+NODE = {"$dynamicAnchor": "node", "properties": {"kids": {"items": {"$dynamicRef": "#node"}}}, "unevaluatedProperties": False}
+MORE_CASES = [
+    (CLOSED, {"a": 1, "b": 2}, 0),
+    (CLOSED, {"a": 1, "b": 2, "c": 3}, 0),  # both alternatives fit, and both have evaluated
+    (CLOSED, {"a": 1, "b": 2, "d": 3}, 1),
+    (CLOSED, {"a": "x", "b": 2}, 1),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"properties": {"t": True}}, "unevaluatedProperties": False}, {"k": 1, "t": 2}, 0),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"properties": {"t": True}}, "unevaluatedProperties": False}, {"k": 2, "t": 2}, 2),
+    ({"$ref": "#/$defs/x", "unevaluatedProperties": {"type": "string"}, "$defs": {"x": {"properties": {"n": {"type": "integer"}}}}}, {"n": 1, "s": "x", "o": 2}, 1),
+    ({"not": {"properties": {"a": {"const": 1}}}, "unevaluatedProperties": False}, {"a": 2}, 1),  # what is excluded evaluates nothing
+    ({"properties": {"in": {"properties": {"x": True}}}, "unevaluatedProperties": False}, {"in": {"x": 1, "y": 2}}, 0),
+    ({"dependentSchemas": {"a": {"properties": {"b": True}}}, "properties": {"a": True}, "unevaluatedProperties": False}, {"a": 1, "b": 2}, 0),
+    (LIST, ["x", 1, None, 2], 0),
+    (LIST, ["x", 1, "y"], 1),
+    (LIST, [1], 1),
+    ({"allOf": [{"prefixItems": [True, True]}], "unevaluatedItems": False}, [1, 2], 0),
+    ({"allOf": [{"prefixItems": [True, True]}], "unevaluatedItems": False}, [1, 2, 3], 1),
+    ({"allOf": [{"items": True}], "unevaluatedItems": False}, [1, 2, 3], 0),
+    (NODE, {"kids": [{"kids": []}, {"kids": [{}]}]}, 0),
+    (NODE, {"kids": [{"kids": []}, {"kid": 1}]}, 1),
+    ({**D2019, "items": [{"type": "string"}], "additionalItems": False}, ["a", 1], 1),
+    ({**D2019, "$recursiveAnchor": True, "properties": {"k": {"$recursiveRef": "#"}}, "required": ["n"]}, {"n": 1, "k": {}}, 1),
+    ({**D2019, "contains": {"const": 1}, "unevaluatedItems": False}, [1], 1),  # before 2020-12 contains evaluates nothing
+    ({**D7, "items": [{"type": "string"}], "additionalItems": {"type": "integer"}}, ["a", 1, "b"], 1),
+    ({**D7, "items": {"type": "string"}, "additionalItems": False}, ["a", "b"], 0),
+    ({**D7, "dependencies": {"a": ["b"], "c": {"required": ["d"]}}}, {"a": 1, "c": 2}, 2),
+    ({**D7, "$ref": "#/definitions/x", "minimum": 9, "definitions": {"x": {"type": "integer"}}}, 1, 0),
+    ({**D7, "allOf": [{"$ref": "#n"}], "definitions": {"x": {"$id": "#n", "type": "string"}}}, 1, 1),
+    ({**D7, "unevaluatedProperties": False, "prefixItems": [False], "dependentRequired": {"a": ["b"]}}, {"a": 1}, 0),
+    ({"dependencies": {"a": ["b"]}, "additionalItems": False}, {"a": 1}, 0),  # words of older drafts assert nothing in this one
+    ({"$ref": "#/$defs/tree", "$defs": {"tree": {"properties": {"l": {"$ref": "#/$defs/tree"}, "v": {"type": "integer"}}, "additionalProperties": False}}}, {"l": {"l": {"v": "x", "w": 1}}}, 2),
+    ({"$ref": "#/x-parts/a", "x-parts": {"a": {"type": "string"}}}, 1, 1),
+    ({"allOf": [{"$ref": "#/allOf/1"}, {"$ref": "#/allOf/0"}]}, 1, 0),
+    ({"anyOf": [{"type": "string"}, {"items": {"$ref": "#"}, "type": "array"}]}, [["a"], [["b", 1]]], 1),
+]
 
 
-@pytest.mark.parametrize("schema, value, wrong", CASES)
+@pytest.mark.parametrize("schema, value, wrong", CASES + MORE_CASES)
 def test_keywords(schema, value, wrong):
     assert len(Schema(schema).violations(value)) == wrong
 
@@ -46,7 +88,10 @@ def test_keywords(schema, value, wrong):
     "schema",
     [
         {"$ref": "https://example.com/x.json"}, {"$ref": "#/$defs/none"}, {"type": "text"}, {"pattern": "("}, {"items": 3},
-        {"properties": []}, {"unevaluatedItems": False}, {"multipleOf": 0}, {"minLength": "3"},
+        {"properties": []}, {"multipleOf": 0}, {"minLength": "3"}, {"items": [{"type": "string"}]}, {"required": "a"}, {"required": [1]},
+        {"unevaluatedProperties": 3}, {"$dynamicRef": "#none"}, {"$ref": 3}, {"$id": "part", "type": "string"}, {"dependentRequired": {"a": "b"}}, {"$defs": {"x": {"type": "text"}}},
+        {"$ref": "#/x-parts/a", "x-parts": {"a": {"type": "strnig"}}}, {"$ref": "#/x-parts/a", "x-parts": {"a": 3}}, {"enum": 3},
+        {"$schema": "http://json-schema.org/draft-04/schema#", "$ref": "#"},
     ],
 )
 def test_what_cannot_be_checked_is_refused(schema):
@@ -54,6 +99,23 @@ def test_what_cannot_be_checked_is_refused(schema):
         Schema({"allOf": [schema]} if "#" not in str(schema) else schema)
 
 
+def test_a_pattern_that_would_not_end_is_ended():
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        Schema({"pattern": "^(a+)+$"}).violations("a" * 60 + "b", seconds=0.2)
+    assert time.monotonic() - began < 5
+
+
+def test_errors_of_the_evaluator_tell_what_happened(spark):
+    build = evaluators.json_schema({"properties": {"a": {"pattern": "^(a+)+$"}}, "unevaluatedProperties": False}, seconds=0.2)
+    texts = ['{"a": "aa"}', json.dumps({"a": "a" * 60 + "b"}), json.dumps({"a": "x" * 1_000_001}), '{"b": 1}', "{"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = [r.r for r in df.select("i", build(F.col("t"), F.lit("")).alias("r")).orderBy("i").collect()]
+    assert [r.error for r in rows] == [None, "schema_timeout", "schema_instance_too_large", None, None]
+    assert [r.score for r in rows] == [1.0, None, None, 0.5, 0.0]
+    assert json.loads(rows[3].detail) == {"n_errors": 1, "errors": ["$: has the unevaluated property 'b'"]} and json.loads(rows[4].detail)["n_errors"] == 1
+
+
 def test_violations_are_sorted_by_place_and_capped():
     found = Schema({"items": {"type": "string"}}).violations(list(range(60)))
     assert len(found) == MOST_VIOLATIONS and found[2].startswith("$[2]:") and found[10].startswith("$[10]:")
