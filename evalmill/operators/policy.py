@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill.functions.stats import is_close, wilson_interval
+from evalmill.operators.rollup import by_evaluator
+from evalmill.operators.scoring import aliased, case_outcome, errored, rates
 
+# Names of metrics, scopes and bounds, and the codes a process ends with.
 ROOT = ("pass_rate", "error_rate", "mean_score", "median_score")
 LATENCY = ("mean_ms", "p50_ms", "p90_ms", "p95_ms", "p99_ms", "max_ms")
 SCOPES = ("category", "tag", "evaluator", "evaluator_type")
@@ -145,6 +148,64 @@ def long_metrics(
     )
 
 
+def grain_metrics(cases: DataFrame, evaluations: DataFrame, error_policy: str = "exclude") -> DataFrame:
+    """The same long table straight from cases and evaluations: one pass over each.
+
+    A case is expanded to the grains it counts under (its run, its category, each
+    of its tags), and all figures are aggregates of one grouping. Medians and
+    percentiles, which keep a count for each value, are of the run's grain only.
+    """
+    run = F.col("scope") == "run"
+    score = F.when(~errored(), F.col("score"))
+    latency = F.when(run & ~errored(), F.col("latency_ms"))
+    grain = lambda scope, key: F.struct(F.lit(scope).alias("scope"), key.cast("string").alias("key"))
+    grains = F.concat(
+        F.array(grain("run", F.lit("")), F.when(F.col("category").isNotNull(), grain("category", F.col("category")))),
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: grain("tag", t)),
+    )
+    rows = cases.select("run_id", "status", "passed", "score", "latency_ms", F.explode(grains).alias("grain")).filter("grain is not null")
+    found = rows.select("run_id", "grain.*", "status", "passed", "score", "latency_ms").groupBy("run_id", "scope", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(errored()).alias("n_errors"),
+        *aliased(rates(case_outcome(error_policy))),
+        F.count(score).alias("n_scored"),
+        F.avg(score).alias("mean_score"),
+        F.median(F.when(run, score)).alias("median_score"),
+        F.count(latency).alias("n_timed"),
+        F.avg(latency).alias("mean_ms"),
+        F.max(latency).alias("max_ms"),
+        F.percentile(latency, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("ranks"),
+    )
+    none = F.lit(None).cast("double")
+    own, unknown = (F.col("ci_low"), F.col("ci_high")), (none, none)
+
+    def cell(scope: str | None, leaf: str, value: Column, n: str, ci: tuple[Column, Column] = unknown) -> Column:
+        return F.struct(
+            (F.col("scope") if scope is None else F.lit(scope)).alias("scope"), F.lit(leaf).alias("leaf"),
+            value.cast("double").alias("value"), F.col(n).cast("long").alias("n"), ci[0].alias("ci_low"), ci[1].alias("ci_high"),
+        )
+
+    error_rate = F.coalesce(F.try_divide("n_errors", "n"), F.lit(0.0))
+    of_run = [
+        cell(None, "pass_rate", F.col("pass_rate"), "n_denominator", own),
+        cell(None, "error_rate", error_rate, "n", wilson_interval(F.col("n_errors"), F.col("n"))),
+        cell(None, "mean_score", F.col("mean_score"), "n_scored"),
+        cell(None, "median_score", F.col("median_score"), "n_scored"),
+        cell("latency", "mean_ms", F.col("mean_ms"), "n_timed"),
+        *(cell("latency", leaf, F.get("ranks", F.lit(i)), "n_timed") for i, leaf in enumerate(LATENCY[1:5])),
+        cell("latency", "max_ms", F.col("max_ms"), "n_timed"),
+    ]
+    of_bucket = [cell(None, "pass_rate", F.col("pass_rate"), "n", own), cell(None, "mean_score", F.col("mean_score"), "n")]
+    cells = F.when(run, F.array(*of_run)).otherwise(F.array(*of_bucket))
+    # The scope of a cell replaces that of its grain.
+    told = found.select("run_id", "key", F.inline(cells))
+    of_passes = wilson_interval(F.col("n_passed"), F.col("n_pass_denominator"))
+    of_evaluator = [cell("evaluator", "pass_rate", F.col("pass_rate"), "n_pass_denominator", of_passes), cell("evaluator", "mean_score", F.col("mean_score"), "n")]
+    judged = by_evaluator(evaluations).select("run_id", F.col("evaluator_id").alias("key"), "evaluator_type", F.inline(F.array(*of_evaluator)))
+    names = ["run_id", "scope", "key", "evaluator_type", "leaf", "value", "n", "ci_low", "ci_high"]
+    return told.withColumn("evaluator_type", F.lit(None).cast("string")).select(*names).unionByName(judged.select(*names))
+
+
 def expand(checks: DataFrame, metrics: DataFrame, baseline: str, candidate: str) -> DataFrame:
     """Each check bound to the figures of both runs: one row for each instance of either run.
 
@@ -152,20 +213,14 @@ def expand(checks: DataFrame, metrics: DataFrame, baseline: str, candidate: str)
     instance that only one run has.
     """
 
-    def side(run: str, mark: str) -> DataFrame:
-        return metrics.filter(F.col("run_id") == run).select(
-            *(F.col(c).alias(f"{mark}_{c}") for c in ("scope", "key", "leaf", "evaluator_type", "value", "n", "ci_low", "ci_high")),
-            F.lit(True).alias(f"{mark}_there"),
-        )
-
-    b, c = side(baseline, "b"), side(candidate, "c")
-    same = (b["b_scope"] == c["c_scope"]) & (b["b_key"] == c["c_key"]) & (b["b_leaf"] == c["c_leaf"])
-    both = b.join(c, same, "full_outer").select(
-        F.coalesce("b_scope", "c_scope").alias("m_scope"),
-        F.coalesce("b_key", "c_key").alias("key"),
-        F.coalesce("b_leaf", "c_leaf").alias("m_leaf"),
-        "b_evaluator_type", "c_evaluator_type", "b_value", "c_value", "b_n", "c_n", "b_ci_low", "b_ci_high", "c_ci_low",
-        "c_ci_high", "b_there", "c_there",
+    figures = F.struct("evaluator_type", "value", "n", "ci_low", "ci_high")
+    of = lambda run: F.any_value(F.when(F.col("run_id") == run, figures), F.lit(True))
+    # Both runs in one grouping: each has one row for a scope, key and leaf.
+    both = metrics.filter(F.col("run_id").isin(baseline, candidate)).groupBy("scope", "key", "leaf").agg(of(baseline).alias("b"), of(candidate).alias("c"))
+    both = both.select(
+        F.col("scope").alias("m_scope"), "key", F.col("leaf").alias("m_leaf"),
+        *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "bc" for c in ("evaluator_type", "value", "n", "ci_low", "ci_high")),
+        F.col("b").isNotNull().alias("b_there"), F.col("c").isNotNull().alias("c_there"),
     )
     by_type = F.col("scope") == "evaluator_type"
     scope = F.when(by_type, F.lit("evaluator")).otherwise(F.col("scope"))
@@ -227,8 +282,35 @@ def bound_states() -> Column:
     return F.filter(F.array(*map(state, BOUNDS)), lambda s: s.isNotNull())
 
 
-def evaluate(expanded: DataFrame, fail_on_missing: bool = True) -> DataFrame:
-    """Outcomes: the gates that stop a check, else its first violated bound; the bound is reported on a pass too."""
+#: What a reader of an outcome is told beside it.
+NOTES = {
+    "latency": "latency is of attempts that succeeded, without the waits before retries",
+    "policies": "the runs count errors differently, so their pass rates are over different populations",
+    "close": "the interval of the change reaches past the threshold, so this is a close pass",
+    "unsure": "the interval of the change also covers values within the threshold, so the breach is not firm",
+    "overlap": "the intervals of the two runs overlap, so the comparison is not conclusive",
+}
+
+
+def notes_of(open_: Column, straddles: Column, overlaps: Column, policies_differ: bool) -> Column:
+    """The notes of an outcome, in order: on its population, why it was stopped, how firm it is."""
+    overall = F.col("metric") == "pass_rate"
+    said = [
+        F.when(F.col("metric").startswith("latency."), F.lit(NOTES["latency"])),
+        F.when(overall & F.lit(policies_differ), F.lit(NOTES["policies"])),
+        F.col("population"),
+        F.when(~open_, F.col("reason")),
+        F.when(open_ & straddles, F.when(F.col("status") == "passed", F.lit(NOTES["close"])).otherwise(F.lit(NOTES["unsure"]))),
+        F.when(open_ & overlaps, F.lit(NOTES["overlap"])),
+    ]
+    return F.filter(F.array(*said), lambda x: x.isNotNull())
+
+
+def evaluate(expanded: DataFrame, policies_differ: bool = False) -> DataFrame:
+    """Outcomes: the gates that stop a check, else its first violated bound; the bound is reported on a pass too.
+
+    ``policies_differ``: the runs' pass rates were made under different error policies.
+    """
     relative = F.col("max_relative_decrease").isNotNull() | F.col("max_relative_increase").isNotNull()
     moves = relative | F.col("max_absolute_decrease").isNotNull() | F.col("max_absolute_increase").isNotNull()
     b, c = F.col("b_value"), F.col("c_value")
@@ -260,32 +342,45 @@ def evaluate(expanded: DataFrame, fail_on_missing: bool = True) -> DataFrame:
         "states", lambda s: s["move"].isNotNull() & (F.col("delta_low") < s["move"]) & (s["move"] < F.col("delta_high"))
     )
     out = rows.withColumn("status", status)
-    for column in ("delta_low", "delta_high", "mcnemar_p"):
+    absent = {"delta_low": "double", "delta_high": "double", "mcnemar_p": "double", "population": "string", "mode": "string"}
+    for column, kind in absent.items():
         if column not in out.columns:
-            out = out.withColumn(column, F.lit(None).cast("double"))
+            out = out.withColumn(column, F.lit("unpaired" if column == "mode" else None).cast(kind))
+    straddles = F.coalesce(straddles, F.lit(False))
+    overlaps = F.coalesce((F.col("b_ci_low") <= F.col("c_ci_high")) & (F.col("c_ci_low") <= F.col("b_ci_high")), F.lit(False))
     return out.select(
         "ord", "metric", F.col("shown").alias("label"), "severity", "status", "b_value", "c_value", "b_n", "c_n",
         (c - b).alias("delta"), F.try_divide(c - b, b).alias("relative_delta"),
         F.when(open_, F.col("bound.name")).alias("bound"), F.when(open_, F.col("bound.threshold")).alias("threshold"), "reason",
-        "delta_low", "delta_high", "mcnemar_p", F.coalesce(straddles, F.lit(False)).alias("straddles"),
-        F.coalesce((F.col("b_ci_low") <= F.col("c_ci_high")) & (F.col("c_ci_low") <= F.col("b_ci_high")), F.lit(False)).alias("overlaps"),
+        "delta_low", "delta_high", "mcnemar_p", straddles.alias("straddles"), overlaps.alias("overlaps"),
+        notes_of(open_, straddles, overlaps, policies_differ).alias("notes"), "mode",
     )
 
 
 def with_paired_rates(expanded: DataFrame, table: DataFrame, min_paired: int) -> DataFrame:
-    """In paired mode the run's pass rate is that of the paired cases, with the paired interval and p-value."""
+    """In paired mode the run's pass rate is that of the paired cases, with the paired interval and p-value.
+
+    The mode is a column: paired if enough cases pair. The runs' own intervals
+    say nothing about a paired difference and go; the population is told where
+    it isn't each run's whole one.
+    """
     row = table.select(
         F.col("n_paired").alias("pairs"), "baseline_rate", "candidate_rate", F.col("ci_low").alias("pair_low"),
         F.col("ci_high").alias("pair_high"), F.col("mcnemar_p").alias("pair_p"),
     )
     # One row: the 2x2 table of the two runs.
     joined = expanded.join(F.broadcast(row), F.lit(True))
-    use = (F.col("metric") == "pass_rate") & (F.col("pairs") >= max(1, min_paired))
-    changes = {"b_value": "baseline_rate", "c_value": "candidate_rate", "b_n": "pairs", "c_n": "pairs"}
-    kept = [F.when(use, F.col(changes[c])).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in expanded.columns]
+    paired = F.col("pairs") >= max(1, min_paired)
+    use = paired & (F.col("metric") == "pass_rate")
+    changes = {"b_value": F.col("baseline_rate"), "c_value": F.col("candidate_rate"), "b_n": F.col("pairs"), "c_n": F.col("pairs")}
+    changes |= {f"{x}_ci_{end}": F.lit(None).cast("double") for x in "bc" for end in ("low", "high")}
+    kept = [F.when(use, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in expanded.columns]
+    smaller = use & ((F.col("pairs") != F.col("b_n")) | (F.col("pairs") != F.col("c_n")))
+    population = F.format_string("over the %d cases that both runs ran unchanged and reached a verdict on, of %d and %d", "pairs", "b_n", "c_n")
     return joined.select(
         *kept, F.when(use, F.col("pair_low")).alias("delta_low"), F.when(use, F.col("pair_high")).alias("delta_high"),
-        F.when(use, F.col("pair_p")).alias("mcnemar_p"),
+        F.when(use, F.col("pair_p")).alias("mcnemar_p"), F.when(smaller, population).alias("population"),
+        F.when(paired, "paired").otherwise("unpaired").alias("mode"),
     )
 
 
@@ -307,33 +402,29 @@ def with_exit_code(verdicts: DataFrame, fail_on_warning: bool = False) -> DataFr
 
 @dataclass
 class Comparison:
-    """Two runs held against a policy."""
+    """Two runs held against a policy. The outcomes' column ``mode`` tells whether pass rates are of paired cases."""
 
     policy: Policy
     comparable: bool
-    mode: str
     outcomes: DataFrame | None = None
     verdicts: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
 
 
 def compare_runs(
-    metrics: DataFrame, table: DataFrame, policy: Policy, baseline: str, candidate: str, same_suite: bool = True
+    metrics: DataFrame, table: DataFrame, policy: Policy, baseline: str, candidate: str, same_suite: bool = True, policies_differ: bool = False
 ) -> Comparison:
-    """The report of two runs: comparability, mode, outcomes in policy order, and the verdict."""
+    """The report of two runs: comparability, outcomes in policy order, and the verdict."""
     spark = metrics.sparkSession
     if policy.require_same_suite and not same_suite:
         rows = spark.createDataFrame([("incomparable", 0, 0, 0, 0, 0)], "verdict string, n_passed long, n_warning long, n_failed long, n_missing_metric long, n_insufficient_data long")
-        return Comparison(policy, False, "none", verdicts=rows, notes=["the runs are of different suites"])
+        return Comparison(policy, False, verdicts=rows, notes=["the runs are of different suites"])
     bound = expand(checks_table(spark, policy), metrics, baseline, candidate)
-    mode = "unpaired"
     if policy.paired:
-        mode = "paired" if table.first()["n_paired"] >= max(1, policy.min_paired_cases) else "unpaired"
         bound = with_paired_rates(bound, table, policy.min_paired_cases)
-    outcomes = evaluate(bound)
     alpha = round(1 - policy.confidence_level, 10)
-    outcomes = outcomes.withColumn("significant", F.col("mcnemar_p") < alpha)
-    return Comparison(policy, True, mode, outcomes, verdict(outcomes, policy.fail_on_missing_metric))
+    outcomes = evaluate(bound, policies_differ).withColumn("significant", F.col("mcnemar_p") < alpha)
+    return Comparison(policy, True, outcomes, verdict(outcomes, policy.fail_on_missing_metric))
 
 
 def valid_path(path: str) -> bool:

@@ -70,6 +70,10 @@ CHECKS = policy.Policy(
 
 
 def _metrics(spark, sf):
+    return policy.grain_metrics(_two_runs(spark, sf), view(spark, sf, "evaluations"))
+
+
+def _metrics_of_rollups(spark, sf):
     cases, evaluations = _two_runs(spark, sf), view(spark, sf, "evaluations")
     return policy.long_metrics(
         rollup.run_rollup(cases), rollup.latency_stats(cases), rollup.by_category(cases), rollup.by_tag(cases), rollup.by_evaluator(evaluations)
@@ -86,16 +90,21 @@ def _verdict(spark, sf):
 
 
 def _report(spark, sf):
-    """The default policy in paired mode, with its advisory figures."""
+    """The default policy in paired mode, with its advisory figures and notes."""
     table = compare.concordance(_pairs(spark, sf))
-    found = policy.compare_runs(_metrics(spark, sf), table, policy.DEFAULT_POLICY, BASELINE, CANDIDATE)
-    return found.outcomes.select("ord", "metric", "status", "b_value", "c_value", "delta_low", "delta_high", "mcnemar_p", "straddles", "overlaps", "significant")
+    found = policy.compare_runs(_metrics(spark, sf), table, policy.DEFAULT_POLICY, BASELINE, CANDIDATE, policies_differ=True)
+    columns = ("ord", "metric", "status", "mode", "b_value", "c_value", "b_n", "c_n", "delta_low", "delta_high", "mcnemar_p", "straddles", "overlaps", "significant")
+    return found.outcomes.select(*columns, F.array_join("notes", "; ").alias("notes"))
 
 
-def _bucket(scope: str, key: str, leaf: str, value: str, n: str, source: str) -> str:
-    return f"SELECT run_id, '{scope}' AS scope, {key} AS key, CAST(NULL AS STRING) AS kind, '{leaf}' AS leaf, CAST({value} AS DOUBLE) AS value, CAST({n} AS BIGINT) AS n FROM {source} GROUP BY ALL"
+def _bucket(scope: str, key: str, leaf: str, value: str, n: str, source: str, x: str = "NULL", d: str = "NULL") -> str:
+    return (
+        f"SELECT run_id, '{scope}' AS scope, {key} AS key, CAST(NULL AS STRING) AS kind, '{leaf}' AS leaf, CAST({value} AS DOUBLE) AS value, CAST({n} AS BIGINT) AS n, "
+        f"CAST({x} AS BIGINT) AS x, CAST({d} AS BIGINT) AS d FROM {source} GROUP BY ALL"
+    )
 
 
+_OF_PASSES = ("count(*) FILTER (outcome)", "count(outcome)")
 _RATE = "CASE WHEN count(outcome) > 0 THEN count(*) FILTER (outcome) / count(outcome) END"
 _LATENCIES = ", ".join(f"quantile_cont(latency_ms, {p / 100}) AS p{p}_ms" for p in (50, 90, 95, 99))
 _METRICS = f"""{_TWO},
@@ -104,16 +113,16 @@ evals AS (SELECT *, CASE WHEN status <> 'error' THEN passed END AS outcome, CASE
 kinds AS (SELECT run_id, evaluator_id, min(evaluator_type) AS kind FROM evals GROUP BY ALL),
 slow AS (SELECT run_id, count(*) AS n, avg(latency_ms) AS mean_ms, {_LATENCIES}, max(latency_ms) AS max_ms FROM two WHERE status = 'ok' GROUP BY run_id),
 metrics AS (
-  {_bucket("run", "''", "pass_rate", _RATE, "count(outcome)", "two")}
-  UNION ALL {_bucket("run", "''", "error_rate", "count(*) FILTER (status <> 'ok') / count(*)", "count(*)", "two")}
+  {_bucket("run", "''", "pass_rate", _RATE, "count(outcome)", "two", *_OF_PASSES)}
+  UNION ALL {_bucket("run", "''", "error_rate", "count(*) FILTER (status <> 'ok') / count(*)", "count(*)", "two", "count(*) FILTER (status <> 'ok')", "count(*)")}
   UNION ALL {_bucket("run", "''", "mean_score", "avg(ok_score)", "count(ok_score)", "two")}
   UNION ALL {_bucket("run", "''", "median_score", "median(ok_score)", "count(ok_score)", "two")}
-  UNION ALL SELECT run_id, 'latency', '', NULL, leaf, value, n FROM (UNPIVOT slow ON mean_ms, p50_ms, p90_ms, p95_ms, p99_ms, max_ms INTO NAME leaf VALUE value)
-  UNION ALL {_bucket("category", "category", "pass_rate", _RATE, "count(*)", "two WHERE category IS NOT NULL")}
+  UNION ALL SELECT run_id, 'latency', '', NULL, leaf, value, n, NULL, NULL FROM (UNPIVOT slow ON mean_ms, p50_ms, p90_ms, p95_ms, p99_ms, max_ms INTO NAME leaf VALUE value)
+  UNION ALL {_bucket("category", "category", "pass_rate", _RATE, "count(*)", "two WHERE category IS NOT NULL", *_OF_PASSES)}
   UNION ALL {_bucket("category", "category", "mean_score", "avg(ok_score)", "count(*)", "two WHERE category IS NOT NULL")}
-  UNION ALL {_bucket("tag", "tag", "pass_rate", _RATE, "count(*)", "tagged")}
+  UNION ALL {_bucket("tag", "tag", "pass_rate", _RATE, "count(*)", "tagged", *_OF_PASSES)}
   UNION ALL {_bucket("tag", "tag", "mean_score", "avg(ok_score)", "count(*)", "tagged")}
-  UNION ALL SELECT e.* REPLACE (k.kind AS kind) FROM ({_bucket("evaluator", "evaluator_id", "pass_rate", _RATE, "count(outcome)", "evals")}) e
+  UNION ALL SELECT e.* REPLACE (k.kind AS kind) FROM ({_bucket("evaluator", "evaluator_id", "pass_rate", _RATE, "count(outcome)", "evals", *_OF_PASSES)}) e
     JOIN kinds k ON k.run_id = e.run_id AND k.evaluator_id = e.key
   UNION ALL SELECT e.* REPLACE (k.kind AS kind) FROM ({_bucket("evaluator", "evaluator_id", "mean_score", "avg(ok_score)", "count(*)", "evals")}) e
     JOIN kinds k ON k.run_id = e.run_id AND k.evaluator_id = e.key)"""
@@ -123,10 +132,13 @@ def _literal(value) -> str:
     return "NULL" if value is None else repr(value) if not isinstance(value, str) else f"'{value}'"
 
 
-_CHECK_ROWS = ", ".join(
-    "({})".format(", ".join(map(_literal, (i, c.metric, *policy.parse_path(c.metric), c.label, c.severity, c.min_samples, *(getattr(c, b) for b in policy.BOUNDS)))))
-    for i, c in enumerate(CHECKS.checks)
-)
+def _check_rows(checks) -> str:
+    return ", ".join(
+        "({})".format(", ".join(map(_literal, (i, c.metric, *policy.parse_path(c.metric), c.label, c.severity, c.min_samples, *(getattr(c, b) for b in policy.BOUNDS)))))
+        for i, c in enumerate(checks)
+    )
+
+
 _CLOSE = "(abs({a} - {b}) <= greatest(1e-9 * greatest(abs({a}), abs({b})), 1e-12))"
 
 
@@ -143,18 +155,20 @@ _BOUND_SQL = {
     "max_relative_increase": ("b_value * (1 + max_relative_increase)", _beyond("c_value", ">", "b_value * (1 + max_relative_increase)")),
 }
 _STATES = ", ".join(f"CASE WHEN {b} IS NOT NULL THEN {{'name': '{b}', 'threshold': CAST({t} AS DOUBLE), 'violated': {v}}} END" for b, (t, v) in _BOUND_SQL.items())
-_OUTCOMES = f"""{_METRICS},
-checks AS (SELECT * FROM (VALUES {_CHECK_ROWS}) AS c(ord, path, scope, selector, leaf, label, severity, min_samples, {", ".join(policy.BOUNDS)})),
+_ALL_OUTCOMES = f"""{_METRICS},
+checks AS (SELECT * FROM (VALUES CHECK_ROWS) AS c(ord, path, scope, selector, leaf, label, severity, min_samples, {", ".join(policy.BOUNDS)})),
 hits AS (
-  SELECT c.ord, m.run_id, m.key, m.value, m.n FROM checks c JOIN metrics m ON m.leaf = c.leaf AND m.run_id IN ('run-0', 'run-1')
+  SELECT c.ord, m.run_id, m.key, m.value, m.n, m.x, m.d FROM checks c JOIN metrics m ON m.leaf = c.leaf AND m.run_id IN ('run-0', 'run-1')
     AND m.scope = CASE WHEN c.scope = 'evaluator_type' THEN 'evaluator' ELSE c.scope END
     AND (c.selector IN ('', '*') OR CASE WHEN c.scope = 'evaluator_type' THEN m.kind = c.selector ELSE m.key = c.selector END)),
-bound AS (
-  SELECT c.*, h.key, h.b_there, h.c_there, h.b_value, h.c_value, coalesce(h.b_n, 0) AS b_n, coalesce(h.c_n, 0) AS c_n, c.scope NOT IN ('run', 'latency') AS many
+instances AS (
+  SELECT c.*, h.* EXCLUDE (ord, b_n, c_n), coalesce(h.b_n, 0) AS b_n, coalesce(h.c_n, 0) AS c_n, c.scope NOT IN ('run', 'latency') AS many
   FROM checks c LEFT JOIN (
     SELECT ord, key, count(*) FILTER (run_id = 'run-0') > 0 AS b_there, count(*) FILTER (run_id = 'run-1') > 0 AS c_there,
       max(value) FILTER (run_id = 'run-0') AS b_value, max(value) FILTER (run_id = 'run-1') AS c_value,
-      max(n) FILTER (run_id = 'run-0') AS b_n, max(n) FILTER (run_id = 'run-1') AS c_n FROM hits GROUP BY ord, key) h USING (ord)),
+      max(n) FILTER (run_id = 'run-0') AS b_n, max(n) FILTER (run_id = 'run-1') AS c_n, max(x) FILTER (run_id = 'run-0') AS b_x, max(d) FILTER (run_id = 'run-0') AS b_d,
+      max(x) FILTER (run_id = 'run-1') AS c_x, max(d) FILTER (run_id = 'run-1') AS c_d FROM hits GROUP BY ord, key) h USING (ord)),
+BOUND,
 gated AS (
   SELECT *, list_filter([{_STATES}], lambda s: s IS NOT NULL) AS states,
     CASE WHEN many AND NOT coalesce(b_there AND c_there, false) THEN 'insufficient_data'
@@ -172,6 +186,33 @@ final AS (
     CASE WHEN gate IS NOT NULL THEN gate WHEN breach IS NULL THEN 'passed' WHEN severity = 'warning' THEN 'warning' ELSE 'failed' END AS status,
     {r("b_value", "b_value")}, {r("c_value", "c_value")}, CAST(b_n AS BIGINT) AS b_n, CAST(c_n AS BIGINT) AS c_n, {r("c_value - b_value", "delta")},
     CASE WHEN gate IS NULL THEN shown.name END AS bound, {r("CASE WHEN gate IS NULL THEN shown.threshold END", "threshold")} FROM outcomes)"""
+_OUTCOMES = _ALL_OUTCOMES.replace("CHECK_ROWS", _check_rows(CHECKS.checks)).replace("BOUND,", "bound AS (SELECT * FROM instances),")
+
+# The default policy in paired mode: the overall pass rate is that of the paired cases.
+_PAIRED = """paired AS (
+  SELECT i.*, path = 'pass_rate' AND n_paired >= 1 AS used, n_paired, stats.ci_low, stats.ci_high, baseline_rate, candidate_rate, stats.mcnemar_p FROM instances i CROSS JOIN stats),
+bound AS (
+  SELECT * REPLACE (CASE WHEN used THEN baseline_rate ELSE b_value END AS b_value, CASE WHEN used THEN candidate_rate ELSE c_value END AS c_value,
+    CASE WHEN used THEN n_paired ELSE b_n END AS b_n, CASE WHEN used THEN n_paired ELSE c_n END AS c_n), b_n AS b_all, c_n AS c_all FROM paired),"""
+_DEFAULT = (_CONCORDANCE.rstrip() + "," + _ALL_OUTCOMES.removeprefix(_TWO + ",")).replace("CHECK_ROWS", _check_rows(policy.DEFAULT_POLICY.checks)).replace("BOUND,", _PAIRED)
+_REPORT_SQL = f"""{_DEFAULT},
+told AS (
+  SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN breach IS NULL THEN 'passed' ELSE 'failed' END AS status,
+    used AND ci_low < -max_absolute_decrease AND -max_absolute_decrease < ci_high AS straddles,
+    NOT used AND coalesce({wilson_low("b_x", "b_d")} <= {wilson_high("c_x", "c_d")} AND {wilson_low("c_x", "c_d")} <= {wilson_high("b_x", "b_d")}, false) AS shared,
+    CASE WHEN many AND NOT coalesce(b_there OR c_there, false) THEN 'neither run has ' || CASE selector WHEN '*' THEN 'any instance' ELSE chr(39) || selector || chr(39) END || ' under ' || scope
+      WHEN many AND NOT coalesce(b_there AND c_there, false) THEN 'only the ' || CASE WHEN c_there THEN 'candidate' ELSE 'baseline' END || ' run has it'
+      WHEN b_value IS NULL AND c_value IS NULL THEN 'neither run reports it' WHEN gate = 'missing_metric' THEN 'one run does not report it'
+      WHEN least(b_n, c_n) < min_samples THEN 'samples ' || b_n || ' and ' || c_n || ' of ' || min_samples WHEN gate IS NOT NULL THEN 'a relative bound needs a baseline other than zero' END AS reason
+  FROM outcomes)
+SELECT ord, metric, status, CASE WHEN n_paired >= 1 THEN 'paired' ELSE 'unpaired' END AS mode, {r("b_value", "b_value")}, {r("c_value", "c_value")}, CAST(b_n AS BIGINT) AS b_n, CAST(c_n AS BIGINT) AS c_n,
+  {r("CASE WHEN used THEN ci_low END", "delta_low")}, {r("CASE WHEN used THEN ci_high END", "delta_high")}, {r("CASE WHEN used THEN mcnemar_p END", "mcnemar_p")},
+  coalesce(straddles, false) AS straddles, shared AS "overlaps", CASE WHEN used THEN mcnemar_p < 0.05 END AS significant,
+  concat_ws('; ', CASE WHEN scope = 'latency' THEN '{policy.NOTES["latency"]}' END, CASE WHEN path = 'pass_rate' THEN '{policy.NOTES["policies"]}' END,
+    CASE WHEN used AND (n_paired <> b_all OR n_paired <> c_all) THEN 'over the ' || n_paired || ' cases that both runs ran unchanged and reached a verdict on, of ' || b_all || ' and ' || c_all END,
+    reason, CASE WHEN gate IS NULL AND straddles THEN CASE WHEN status = 'passed' THEN '{policy.NOTES["close"]}' ELSE '{policy.NOTES["unsure"]}' END END,
+    CASE WHEN gate IS NULL AND shared THEN '{policy.NOTES["overlap"]}' END) AS notes
+FROM told"""
 
 
 def _warnings(spark, sf):
@@ -219,6 +260,12 @@ ENTRIES = [
         f"WITH {_METRICS} SELECT run_id, scope, key, leaf, {r('value', 'value')}, n FROM metrics",
         "case_results", "evaluations",
     ),
+    entry(
+        "metric_long_rollups",
+        lambda s, d: _metrics_of_rollups(s, d).select("run_id", "scope", "key", "leaf", "value", "n", "ci_low", "ci_high").filter(F.col("run_id").isin(BASELINE, CANDIDATE)),
+        f"WITH {_METRICS} SELECT run_id, scope, key, leaf, {r('value', 'value')}, n, {r(wilson_low('x', 'd'), 'ci_low')}, {r(wilson_high('x', 'd'), 'ci_high')} FROM metrics",
+        "case_results", "evaluations",
+    ),
     entry("policy_checks", _outcomes, f"WITH {_OUTCOMES} SELECT * FROM final", "case_results", "evaluations"),
     entry(
         "policy_verdict",
@@ -229,7 +276,7 @@ ENTRIES = [
         SELECT *, CASE verdict WHEN 'fail' THEN 4 WHEN 'incomparable' THEN 6 ELSE 0 END AS exit_code FROM v""",
         "case_results", "evaluations",
     ),
-    entry("default_policy_report", _report),
+    entry("default_policy_report", _report, _REPORT_SQL, "case_results", "evaluations"),
     entry(
         "case_verdict_fold",
         lambda s, d: verdicts.case_verdicts(view(s, d, "evaluations")),
