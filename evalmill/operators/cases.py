@@ -6,12 +6,13 @@ import json
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from evalmill.functions.documents import canonical
 from evalmill.functions.text import digest
+from evalmill.session import stage
 
 
 def resolve(cases: DataFrame, defaults: dict) -> DataFrame:
@@ -119,9 +120,10 @@ def select_cases(
 ) -> DataFrame:
     """Cases of a suite by ids, then tags (any of them), then a seeded sample, then a limit in the suite's order.
 
-    The sample is drawn from the ids in their order with a generator of the
-    given seed, so the same suite and seed select the same cases; a suite's ids
-    are a list that its author wrote. ``hash_sample`` draws without the driver.
+    The sample is that of ``random.Random(seed).sample`` over the ids in their
+    order, so the same suite and seed select the same cases. Only how many cases
+    there are is needed to draw: the drawn ordinals, ``sample`` longs, meet the
+    cases' own ordinals in a join, and no id comes to the driver.
     """
     rows = cases
     if ids:
@@ -129,13 +131,31 @@ def select_cases(
     if tags:
         rows = rows.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     if sample is not None:
-        there = [r["id"] for r in rows.select("id", "ord").orderBy("ord").toLocalIterator()]
-        if sample < len(there):
-            chosen = sorted(random.Random(seed).sample(there, sample))
-            return rows.filter(F.col("id").isin(chosen)).orderBy("id").limit(limit if limit is not None else sample)
+        numbered = with_ordinals(rows, "ord")
+        there = numbered.count()
+        if sample < there:
+            drawn = random.Random(seed).sample(range(there), sample)
+            spark = rows.sparkSession
+            chosen = spark.createDataFrame([(i,) for i in drawn], "drawn long")
+            found = numbered.join(chosen, numbered["ordinal"] == chosen["drawn"], "left_semi").drop("ordinal")
+            return found.orderBy("id").limit(limit if limit is not None else sample)
     return rows.orderBy("ord").limit(limit) if limit is not None else rows
 
 
+def with_ordinals(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``ordinal``, their place from 0 in this order; ties come in any order.
+
+    Sorted by range and written: a row's ordinal is its place in its partition,
+    after the rows of the partitions before, of which there is one count each.
+    """
+    placed = stage(rows.sort(*order).withColumn("tick", F.monotonically_increasing_id()), "ordinals")
+    part = F.shiftright("tick", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    ordinal = F.col("start") + F.col("tick").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(starts), part == starts["part"]).select(*rows.columns, ordinal.alias("ordinal"))
+
+
 def hash_sample(rows: DataFrame, key: str, sample: int, seed: int = 0) -> DataFrame:
     """A seeded sample of ``sample`` rows by the least digests of their keys."""
     return rows.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")), 256), key).limit(sample)

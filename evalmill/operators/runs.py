@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds that a rate limit closes the gate at most, and where it names none.
 LONGEST_COOLDOWN, USUAL_COOLDOWN = 120.0, 1.0
+#: Kinds of errors that another try may mend.
+RETRYABLE = ("rate_limit", "timeout", "connection", "server")
 
 
 def retry_delays(
@@ -16,7 +20,7 @@ def retry_delays(
 
     ``attempts`` has call_id, attempt (from 1), kind and retry_after (seconds or null).
     """
-    retryable = F.col("kind").isin("rate_limit", "timeout", "connection", "server")
+    retryable = F.col("kind").isin(*RETRYABLE)
     again = retryable & (F.col("attempt") < tries)
     backoff = F.least(F.lit(most), base * F.pow(F.lit(factor), F.col("attempt") - 1))
     backoff = backoff if jitter is None else backoff * jitter
@@ -27,6 +31,75 @@ def retry_delays(
     )
 
 
+@dataclass(frozen=True)
+class RetryPolicy:
+    """How often and how long a call is tried again. Waits double from ``base`` up to ``most``, and add up to ``total`` at most."""
+
+    tries: int = 4
+    base: float = 0.5
+    most: float = 30.0
+    total: float = 120.0
+    jitter: str = "full"
+    respect_retry_after: bool = True
+
+    def __post_init__(self):
+        if self.jitter not in ("none", "equal", "full"):
+            raise ValueError(f"unknown jitter {self.jitter!r}; known: none, equal, full")
+        if self.tries < 1 or min(self.base, self.most) <= 0 or self.total < 0:
+            raise ValueError("a retry policy needs a try, and waits above zero")
+
+    def wait(self, attempt: Column, retry_after: Column, draw: Column) -> Column:
+        """The wait after a failed attempt (from 1); ``draw`` is uniform on [0, 1). A wait that the vendor names is the least there is."""
+        full = F.least(F.lit(self.most), self.base * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0)).cast("double")))
+        own = {"none": full, "equal": full / 2 + draw * full / 2, "full": draw * full}[self.jitter]
+        return F.greatest(own, F.coalesce(retry_after, F.lit(0.0))) if self.respect_retry_after else own
+
+
+def retry_chains(attempts: DataFrame, policy: RetryPolicy, draw: Column | None = None, seed: int = 0) -> DataFrame:
+    """For each failed attempt: whether it is tried again, after what wait, and why not.
+
+    ``attempts`` has call_id, attempt (from 1), kind and retry_after (seconds or
+    null). A wait is granted only if it and those granted before stay within the
+    budget, and nothing is granted after a refusal: a fold over a call's attempts
+    in order. ``reason`` is null where a retry is granted, else not_retryable,
+    exhausted, over_budget or not_reached. Without ``draw`` the jitter comes from
+    a hash of the call, the attempt and the seed. Rows that repeat an attempt are
+    one; attempts beyond the last try take no part in the fold, which so is short.
+    """
+    if draw is None:
+        draw = F.pmod(F.xxhash64("call_id", "attempt", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    facts = F.struct("kind", F.col("retry_after").cast("double").alias("retry_after"), draw.cast("double").alias("draw"))
+    once = attempts.groupBy("call_id", "attempt").agg(F.min(facts).alias("facts"))
+    early = F.col("attempt") <= policy.tries
+    chains = once.filter(early).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "facts.*"))).alias("chain"))
+
+    def step(acc: Column, a: Column) -> Column:
+        wait = policy.wait(a["attempt"], a["retry_after"], a["draw"])
+        reason = (
+            F.when(~acc["open"], "not_reached")
+            .when(~F.coalesce(a["kind"].isin(*RETRYABLE), F.lit(False)), "not_retryable")
+            .when(a["attempt"] >= policy.tries, "exhausted")
+            .when(acc["waited"] + wait > policy.total, "over_budget")
+        )
+        granted = reason.isNull()
+        waited = acc["waited"] + F.when(granted, wait).otherwise(0.0)
+        row = F.struct(
+            a["attempt"].alias("attempt"), a["kind"].alias("kind"), granted.alias("retried"), F.when(granted, wait).alias("delay_s"),
+            waited.alias("waited_s"), reason.alias("reason"),
+        )
+        return F.struct(waited.alias("waited"), granted.alias("open"), F.array_append(acc["rows"], row).alias("rows"))
+
+    kind, attempt = dict(attempts.dtypes)["kind"], dict(attempts.dtypes)["attempt"]
+    none = F.array().cast(f"array<struct<attempt:{attempt},kind:{kind},retried:boolean,delay_s:double,waited_s:double,reason:string>>")
+    start = F.struct(F.lit(0.0).alias("waited"), F.lit(True).alias("open"), none.alias("rows"))
+    folded = chains.select("call_id", F.inline(F.aggregate("chain", start, step, lambda acc: acc["rows"])))
+    late = once.filter(~early).select(
+        "call_id", "attempt", "facts.kind", F.lit(False).alias("retried"), F.lit(None).cast("double").alias("delay_s"),
+        F.lit(None).cast("double").alias("waited_s"), F.lit("not_reached").alias("reason"),
+    )
+    return folded.unionByName(late)
+
+
 def gate_closings(limits: DataFrame) -> DataFrame:
     """When a provider's gate reopens after each rate limit: the latest deadline so far wins.
 

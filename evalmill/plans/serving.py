@@ -112,6 +112,44 @@ def _retries(spark, sf):
     return runs.retry_delays(attempts)
 
 
+_TIGHT = {"full": 9.0, "equal": 4.0, "none": 3.0}
+
+
+def _chains(jitter):
+    def query(spark, sf):
+        rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+        attempts = rows.select(
+            F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("attempt"),
+            F.element_at(F.array(*map(F.lit, ("rate_limit", "timeout", "server", "auth", "connection", None))), (F.col("s") % 6 + 1).cast("int")).alias("kind"),
+            F.when(F.col("s") % 5 == 0, F.lit(7.5)).when(F.col("s") % 7 == 0, F.lit(1.25)).alias("retry_after"), F.col("q"),
+        )
+        found = runs.retry_chains(attempts, runs.RetryPolicy(tries=5, total=_TIGHT[jitter], jitter=jitter), F.col("q") / 64)
+        return found.select("call_id", "attempt", "kind", "retried", "delay_s", "waited_s", "reason")
+
+    return query
+
+
+def _chains_sql(jitter):
+    """A step for each attempt of a call, carrying what was granted so far."""
+    own = {"none": "full_s", "equal": "full_s / 2 + draw * full_s / 2", "full": "draw * full_s"}[jitter]
+    why = f"""CASE WHEN NOT open THEN 'not_reached' WHEN kind IS NULL OR kind = 'auth' THEN 'not_retryable' WHEN n.attempt >= 5 THEN 'exhausted'
+      WHEN waited_s + wait > {_TIGHT[jitter]} THEN 'over_budget' END"""
+    return f"""WITH RECURSIVE a AS (
+      SELECT l_orderkey AS call_id, l_linenumber AS attempt, ['rate_limit', 'timeout', 'server', 'auth', 'connection', NULL][max(l_suppkey) % 6 + 1] AS kind,
+        CASE WHEN max(l_suppkey) % 5 = 0 THEN 7.5 WHEN max(l_suppkey) % 7 = 0 THEN 1.25 END AS retry_after, CAST(max(l_quantity) AS DOUBLE) / 64 AS draw,
+        CAST(least(30.0, 0.5 * pow(2, l_linenumber - 1)) AS DOUBLE) AS full_s FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    n AS (SELECT *, CAST(greatest({own}, coalesce(retry_after, 0)) AS DOUBLE) AS wait, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS place FROM a WHERE attempt <= 5),
+    f AS (
+      SELECT call_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS attempt, CAST(NULL AS VARCHAR) AS kind, true AS open, CAST(NULL AS DOUBLE) AS delay_s, 0.0::DOUBLE AS waited_s, CAST(NULL AS VARCHAR) AS reason
+      FROM (SELECT DISTINCT call_id FROM n)
+      UNION ALL
+      SELECT n.call_id, n.place, n.attempt, n.kind, ({why}) IS NULL, CASE WHEN ({why}) IS NULL THEN wait END, waited_s + CASE WHEN ({why}) IS NULL THEN wait ELSE 0 END, {why}
+      FROM f JOIN n ON n.call_id = f.call_id AND n.place = f.place + 1)
+    SELECT call_id, attempt, kind, open AS retried, {r("delay_s", "delay_s")}, {r("waited_s", "waited_s")}, reason FROM f WHERE place > 0
+    UNION ALL SELECT call_id, attempt, kind, false, NULL, NULL, 'not_reached' FROM a WHERE attempt > 5""".replace("NOT open", "NOT f.open").replace("WHEN kind IS", "WHEN n.kind IS").replace("OR kind =", "OR n.kind =")
+
+
+
 _RETRIES = f"""WITH a AS (SELECT l_orderkey AS call_id, l_linenumber AS attempt, ['rate_limit', 'timeout', 'auth', 'server'][max(l_suppkey) % 4 + 1] AS kind,
   CASE WHEN max(l_suppkey) % 5 = 0 THEN 7.5::DOUBLE END AS retry_after FROM lineitem GROUP BY l_orderkey, l_linenumber),
 d AS (SELECT *, kind <> 'auth' AND attempt < 4 AS retried, CASE WHEN kind <> 'auth' AND attempt < 4 THEN greatest(least(30.0, 0.5 * pow(2, attempt - 1)), coalesce(retry_after, 0)) END AS delay_s FROM a)
@@ -232,6 +270,7 @@ ENTRIES = [
     entry("suite_snapshot_upsert", _snapshots, "SELECT DISTINCT 's' || CAST(o_custkey % 300 AS STRING) AS suite_hash FROM orders WHERE 's' || CAST(o_custkey % 300 AS STRING) >= 's2'"),
     entry("duplicate_keys", _duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
     entry("retry_schedule", _retries, _RETRIES),
+    *(entry(f"retry_budget_{jitter}", _chains(jitter), _chains_sql(jitter)) for jitter in ("full", "equal", "none")),
     entry("rate_gate", _gates, _GATES),
     entry("stale_runs", _stale, "SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'interrupted' ELSE 'running' END ELSE 'completed' END AS status FROM orders"),
     entry(
