@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches
+from evalmill.llm.batches import bound_batches, return_memory
 from evalmill.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,7 +41,7 @@ _WORD = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \xa00-9a-zªµºß-öø-ÿ²³¹¼½¾]+"
 )
 #: Words that a Python worker remembers at most.
-MEMORY = 600_000
+MEMORY = 250_000
 
 
 class WordEncoder:
@@ -118,6 +118,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # What earlier work of this worker has freed goes back before the tokenizer's tables come.
+        return_memory()
         encoder = word_encoder(definition.value)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
@@ -130,6 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, PIECES)
 
