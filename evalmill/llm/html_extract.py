@@ -237,10 +237,25 @@ def settle_marks(lines: list[Line], parents: list[int]) -> None:
         x.boilerplate |= not clear[x.mark]
 
 
+#: A marked section of no known name, at which the parser would give up, and what begins a tag or a comment.
+_ODD_SECTION = re.compile(r"<!\[(?!(?:cdata|temp|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9]))", re.IGNORECASE)
+_OPENING = re.compile(r"<[a-zA-Z/!?]")
+
+
+def readable(html: str) -> str:
+    """A page as the parser can read it: odd marked sections are text, and a tag or comment that the page ends in is cut.
+
+    Nothing after the last ``>`` can be a whole tag; looking for its end again
+    from each ``<`` would take time that grows with the square of the page.
+    """
+    cut = _OPENING.search(html, html.rfind(">") + 1)
+    return _ODD_SECTION.sub("&lt;![", html[: cut.start()] if cut else html)
+
+
 def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
     """The lines of a page, the region around each region, and the regions that are article or main elements."""
     parser = PageLines()
-    parser.feed(html)
+    parser.feed(readable(html))
     parser.close()
     parser.end_line()
     settle_marks(parser.lines, parser.mark_parents)

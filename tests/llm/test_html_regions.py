@@ -50,3 +50,33 @@ def test_time_grows_with_the_length_of_a_page():
         began = time.perf_counter()
         main_text(f"<article>{BODY}</article>" + opened * 20_000 + closed * 20_000)
         assert time.perf_counter() - began < 4, opened
+
+
+ODD = ["<![ x", "<![>", "<![1]", "<![CDATA[ x", "<![foo[", "<!", "<!-", "<!--", "-->", "<?", "</", "</>", "<a ", '<a "', "<p", ">", "<", "&#", "&#x110000;", "<!DOCTYPE", "<script>", "<!-->", "\0", "]]>", "<svg/"]
+
+
+def test_no_page_stops_the_parser():
+    import random
+
+    draw = random.Random(9)
+    page = "<html><body><nav><a href='/'>home</a></nav><article><h1>Title</h1><p>Some words of an article, long enough to count.</p></article></body></html>"
+    for _ in range(10_000):
+        text = page
+        for _ in range(draw.randrange(1, 5)):
+            at = draw.randrange(len(text))
+            text = text[:at] + draw.choice(ODD) + text[at + draw.randrange(4) :]
+        main_text(text)
+
+
+def test_odd_sections_are_text_and_open_ends_are_cut():
+    assert main_text("<p>see <![1] for this</p>") == "see <![1] for this"
+    assert main_text("<p>a</p><!-- x") == "a" and main_text("<p>a</p>b <a href='") == "a\n\nb"
+    assert main_text("<p>a <![if IE]>b<![endif]> c</p>").split() == ["a", "b", "c"]
+
+
+def test_time_grows_with_the_page():
+
+    for odd in ("<a ", "<!--", "</", "<", "<![ "):
+        began = time.monotonic()
+        main_text("<p>words</p>" + odd * (1_000_000 // len(odd)))
+        assert time.monotonic() - began < 5, odd
