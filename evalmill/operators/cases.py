@@ -56,10 +56,23 @@ def merged_json(column: str, defaults: dict):
     return merge(F.col(column))
 
 
+# What stands for parameters and fields of evaluators that a case leaves out.
+PARAMS = {"temperature": None, "max_output_tokens": None, "top_p": None, "stop": [], "seed": None, "response_format": "text", "extra": {}}
+SPEC = {"id": None, "weight": 1.0, "required": True, "on_error": "error", "params": {}}
+_REAL = ("temperature", "top_p", "weight")
+
+
+def filled(found: dict | None, defaults: dict) -> dict:
+    """A mapping with its defaults; a null stands for a default that isn't null, and figures that may be broken are real."""
+    given = {k: v for k, v in (found or {}).items() if v is not None}
+    return {k: float(v) if k in _REAL and v is not None else v for k, v in {**defaults, **given}.items()}
+
+
 @F.pandas_udf(StringType())
 def case_canonical(text: pd.Series) -> pd.Series:
     """Canonical JSON of what a case's hash covers: its prompt, whether authored as an input or as messages, system,
-    expectation, params and evaluators. Tags, category, metadata and weight are left out.
+    expectation, params and evaluators, with all defaults filled in, so that leaving one out changes nothing. Tags,
+    category, metadata and weight are left out.
     """
     keys = ("id", "messages", "system", "expected", "params", "evaluators")
 
@@ -71,6 +84,8 @@ def case_canonical(text: pd.Series) -> pd.Series:
             case["messages"] = [{"role": "user", "content": case["input"]}]
         messages = case.get("messages")
         case["messages"] = messages and [{"name": m.get("name"), "role": m["role"], "content": m["content"]} for m in messages]
+        case["params"] = filled(case.get("params"), PARAMS)
+        case["evaluators"] = [filled(spec, SPEC) for spec in case.get("evaluators") or []]
         return canonical({k: case.get(k) for k in keys})
 
     return text.map(one)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from evalmill.operators.pricing import case_costs
+from evalmill.operators import rollup
+from evalmill.operators.pricing import case_costs, cost_rollup
 
 _KEY = ("run_id", "case_id")
 
@@ -63,16 +64,60 @@ def baseline_reports(runs: DataFrame, most: int = 6) -> DataFrame:
     return recent.join(base, "baseline_run_id", "left")
 
 
-def metrics_document(rollup: DataFrame) -> DataFrame:
+def metrics_document(figures: DataFrame) -> DataFrame:
     """(run_id, document): a run's figures as JSON, decimals as text, nulls kept."""
-    text = [F.col(c).cast("string").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in rollup.dtypes]
-    return rollup.select("run_id", F.to_json(F.struct(*text), {"ignoreNullFields": "false"}).alias("document"))
+    text = _as_text(figures, figures.columns)
+    return figures.select("run_id", F.to_json(F.struct(*text), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def own_rollup(rollup: DataFrame, run_id: str) -> DataFrame:
-    """``rollup``, which fails when it is read if it holds another run's row."""
+def run_documents(cases: DataFrame, evaluations: DataFrame, costs: DataFrame, error_policy: str = "exclude") -> DataFrame:
+    """(run_id, document): the whole roll-up of each run as one JSON object.
+
+    Headline figures with their interval, latency with its marks of small
+    samples, tokens, costs as exact text, errors by kind, and the breakdowns by
+    category, tag and evaluator, each in the order of its name. Parts that a run
+    doesn't have are null or empty. ``costs`` are of :func:`pricing.case_costs`.
+    """
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c != "run_id"]
+        return df.select(F.col("run_id").alias(f"{name}_of"), F.struct(*_as_text(df, rest)).alias(name))
+
+    def listed(df: DataFrame, name: str, first: str) -> DataFrame:
+        rest = [first, *(c for c in df.columns if c not in ("run_id", first))]
+        rows = df.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*_as_text(df, rest)))).alias(name))
+        return rows.withColumnRenamed("run_id", f"{name}_of")
+
+    latency = rollup.latency_stats(cases)
+    marks = F.filter(F.split("low_confidence", ","), lambda x: x != "")
+    parts = [
+        part(latency.withColumn("low_confidence", marks), "latency"),
+        part(rollup.token_totals(cases), "tokens"),
+        part(cost_rollup(costs), "cost"),
+        listed(rollup.error_breakdown(cases), "errors", "error"),
+        listed(rollup.by_category(cases, error_policy), "categories", "category"),
+        listed(rollup.by_tag(cases, error_policy), "tags", "tag"),
+        listed(rollup.by_evaluator(evaluations), "evaluators", "evaluator_id"),
+    ]
+    found = rollup.run_rollup(cases, error_policy).withColumn("error_policy", F.lit(error_policy))
+    columns = list(found.columns)
+    for df in parts:
+        name = df.columns[1]
+        found = found.join(df, found["run_id"] == df[f"{name}_of"], "left").drop(f"{name}_of")
+        empty = F.array().cast(df.schema[name].dataType) if df.schema[name].dataType.typeName() == "array" else F.lit(None)
+        columns.append(F.coalesce(F.col(name), empty).alias(name))
+    return found.select("run_id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def _as_text(df: DataFrame, columns: list[str]) -> list[Column]:
+    kinds = dict(df.dtypes)
+    return [F.col(c).cast("string").alias(c) if kinds[c].startswith("decimal") else F.col(c) for c in columns]
+
+
+def own_rollup(figures: DataFrame, run_id: str) -> DataFrame:
+    """``figures``, which fail when it is read if they hold another run's row."""
     wrong = F.raise_error(F.concat(F.lit("the roll-up belongs to "), "run_id", F.lit(f", not {run_id}")))
-    return rollup.withColumn("run_id", F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(wrong.cast("string")))
+    return figures.withColumn("run_id", F.when(F.col("run_id") == run_id, F.col("run_id")).otherwise(wrong.cast("string")))
 
 
 @F.pandas_udf(StringType())

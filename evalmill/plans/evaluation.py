@@ -180,7 +180,7 @@ def _case_copies(spark, sf):
     return cases.with_case_hash(docs).groupBy("case_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
-_COPIES = """SELECT 'sha256:' || sha256('{"evaluators":null,"expected":null,"id":null,"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"name":null,"role":"user"}],"params":null,"system":null}') AS case_hash,
+_COPIES = """SELECT 'sha256:' || sha256('{"evaluators":[],"expected":null,"id":null,"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"name":null,"role":"user"}],"params":{"extra":{},"max_output_tokens":null,"response_format":"text","seed":null,"stop":[],"temperature":null,"top_p":null},"system":null}') AS case_hash,
   min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1"""
 
 

@@ -15,6 +15,13 @@ EXPORT_COLUMNS = [
     "output_tokens", "total_cost", "unpriced_reason", "error_kind", "completed_at",
 ]
 
+# The flat row of a stored case result, in order.
+CASE_COLUMNS = [
+    "run_id", "case_id", "case_hash", "status", "passed", "score", "attempts", "category", "tags", "latency_ms", "total_latency_ms",
+    "input_tokens", "output_tokens", "total_tokens", "total_cost", "judge_cost", "priced", "unpriced_reason", "error_kind",
+    "started_at", "completed_at",
+]
+
 
 def append(rows: DataFrame, path: str, *partitions: str) -> None:
     """Add rows to a table that is laid out by run, so that reads of a run read its files only."""
@@ -47,6 +54,25 @@ def export_rows(cases: DataFrame) -> DataFrame:
     return cases.select(*(changes.get(c, F.col(c)).alias(c) for c in EXPORT_COLUMNS))
 
 
+def case_rows(cases: DataFrame) -> DataFrame:
+    """The whole flat row of each case result: tags joined by commas, money as exact text, UTC times.
+
+    A column that ``cases`` doesn't have is null; the total of tokens is known
+    only if both parts are.
+    """
+    there = set(cases.columns)
+    has = lambda c: F.col(c) if c in there else F.lit(None)
+    changes = {
+        "tags": F.coalesce(F.array_join("tags", ","), F.lit("")) if "tags" in there else F.lit(""),
+        "total_tokens": F.coalesce(has("total_tokens"), (has("input_tokens") + has("output_tokens")).cast("long")),
+        "total_cost": has("total_cost").cast("string"),
+        "judge_cost": has("judge_cost").cast("string"),
+        "started_at": rfc3339(has("started_at").cast("timestamp")),
+        "completed_at": rfc3339(has("completed_at").cast("timestamp")),
+    }
+    return cases.select(*(changes.get(c, has(c)).alias(c) for c in CASE_COLUMNS))
+
+
 def csv_rows(rows: DataFrame) -> DataFrame:
     """Cells as a CSV file has them: null is empty, and text can't start a formula."""
     kinds = dict(rows.dtypes)

@@ -65,6 +65,19 @@ def test_a_case_hash_covers_the_prompt(spark):
     assert one != two and one == same
 
 
+def test_a_case_hash_is_that_of_the_filled_case(spark):
+    alike = [
+        '{"id":"a","input":"one"}', '{"id":"a","input":"one","params":null,"evaluators":[]}', '{"id":"a","input":"one","params":{"temperature":null,"stop":[]}}',
+        '{"id":"a","input":"one","params":{"response_format":"text","extra":{}}}',
+    ]
+    specs = ['[{"type":"x"}]', '[{"type":"x","weight":1,"required":true,"on_error":"error","id":null,"params":{}}]', '[{"type":"x","weight":1.0}]']
+    alike_specs = [f'{{"id":"a","input":"one","evaluators":{s}}}' for s in specs]
+    others = ['{"id":"a","input":"one","params":{"temperature":0}}', '{"id":"a","input":"one","params":{"temperature":0.0}}', '{"id":"a","input":"one","evaluators":[{"type":"x","weight":2}]}']
+    bodies = alike + alike_specs + others
+    found = [r["case_hash"] for r in cases.with_case_hash(spark.createDataFrame([(b,) for b in bodies], "body string").coalesce(1)).collect()]
+    assert len(set(found[:4])) == 1 and len(set(found[4:7])) == 1 and found[7] == found[8] and len(set(found)) == 4
+
+
 def test_a_case_hash_covers_the_defaults_of_its_suite(spark):
     spec = "array<struct<type string, id string, weight double, required boolean, on_error string, params string>>"
     schema = f"id string, input string, messages array<struct<role string, content string, name string>>, system string, expected string, tags array<string>, metadata string, params string, evaluators {spec}"
