@@ -242,7 +242,17 @@ ENTRIES = [
         SELECT {r("p1", "p1")}, {r("delta", "delta")},
           CAST(CASE WHEN delta > 0 AND delta < 1 AND delta <= p1 AND p1 <= 1 THEN ceil(pow({_SPREAD} / delta, 2)) END AS BIGINT) AS required_n FROM q""",
     ),
-    entry("mdd_grid", _detectable),
+    entry(
+        "mdd_grid",
+        _detectable,
+        f"""WITH RECURSIVE g AS ({_POWER}), h AS (
+          SELECT p1, delta, n, 0 AS step, 1e-6::DOUBLE AS low, (1 - 1e-6)::DOUBLE AS high FROM g
+          UNION ALL
+          SELECT p1, delta, n, step + 1, CASE WHEN enough THEN low ELSE middle END, CASE WHEN enough THEN middle ELSE high END
+          FROM (SELECT *, pow({_SPREAD} / middle, 2) <= n AS enough FROM (
+            SELECT *, greatest(0.0, least(1.0, p1 - middle)) AS p2 FROM (SELECT *, (low + high) / 2 AS middle FROM h WHERE step < 20))))
+        SELECT {r("p1", "p1")}, {r("delta", "delta")}, n, {r("CASE WHEN n > 0 THEN least(high, p1) END", "detectable")} FROM h WHERE step = 20""",
+    ),
     entry(
         "price_lookup",
         lambda s, d: pricing.lookup(_cases(s, d), view(s, d, "prices")),
