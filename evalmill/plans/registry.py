@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.plans import comparison, evaluation, metrics, mixed, records, serving, suites
+from evalmill.plans import answers, comparison, evaluation, metrics, mixed, records, serving, suites
 from evalmill.plans.shared import Entry
 from evalmill.session import ship_package
 
-_ENTRIES: list[Entry] = [*metrics.ENTRIES, *comparison.ENTRIES, *evaluation.ENTRIES, *serving.ENTRIES, *records.ENTRIES, *mixed.ENTRIES, *suites.ENTRIES]
+_ENTRIES: list[Entry] = [*metrics.ENTRIES, *comparison.ENTRIES, *evaluation.ENTRIES, *serving.ENTRIES, *records.ENTRIES, *mixed.ENTRIES, *suites.ENTRIES, *answers.ENTRIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
