@@ -311,7 +311,7 @@ ENTRIES = [
         "evaluations",
     ),
     entry(
-        "evaluator_specs",
+        "spec_catalogue",
         lambda s, d: verdicts.spec_catalogue(view(s, d, "evaluations")),
         "SELECT run_id, evaluator_type || ':' || evaluator_id AS spec, min(case_id) AS first_case FROM v_evaluations GROUP BY ALL",
         "evaluations",
