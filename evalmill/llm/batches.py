@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,22 @@ def return_memory() -> None:
         trim(0)
 
 
+_held: dict[object, Any] = {}
+
+
+def remembered(key: object, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: the tables of one operator at a time.
+
+    Workers outlive a stage. What another operator has left goes, and its memory
+    back to the system, before this one's is made.
+    """
+    if key not in _held:
+        _held.clear()
+        return_memory()
+        _held[key] = make()
+    return _held[key]
+
+
 def small_side(staged: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A staged table of one long a row, broadcast if it has at most so many rows (some 16 MB); else Spark chooses the join."""
     return F.broadcast(staged) if staged.count() <= most else staged

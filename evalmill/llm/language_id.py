@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches, return_memory
+from evalmill.llm.batches import bound_batches, remembered, return_memory
 
 UNKNOWN = "und"
 # First code points of script ranges, and the script that begins there ("" for none).
@@ -228,6 +228,7 @@ def train(labelled: DataFrame, per_language: int = 3000) -> Model:
     bound_batches(spark, *BATCH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("language_id", dict)
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, Counter] = {}
         for batch in batches:
@@ -335,6 +336,7 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = 0.0) -> Dat
     text = docs.schema["text"].name
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("language_id", dict)
         for batch in batches:
             found = label_texts(shared.value, batch.column(columns.index(text)).to_pylist())
             if shared.value.languages:

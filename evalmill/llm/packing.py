@@ -24,14 +24,13 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.batches import bound_batches, return_memory
+from evalmill.llm.batches import bound_batches, remembered, return_memory
 from evalmill.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,11 +100,6 @@ class WordEncoder:
         return [next(rest).tobytes() if w is None else b"".join(map(recall, w)) for w in words]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(definition: str) -> WordEncoder:
-    return WordEncoder(definition)
-
-
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """A row for each piece of each document, with the CRC-32 of its ids."""
     bound_batches(docs.sparkSession)
@@ -118,9 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # What earlier work of this worker has freed goes back before the tokenizer's tables come.
-        return_memory()
-        encoder = word_encoder(definition.value)
+        encoder = remembered(("packing", definition.value), lambda: WordEncoder(definition.value))
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
             rows = []
