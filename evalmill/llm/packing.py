@@ -39,8 +39,8 @@ _LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\xff]*")
 _WORD = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \xa00-9a-zªµºß-öø-ÿ²³¹¼½¾]+"
 )
-#: Words that a Python worker remembers at most.
-MEMORY = 250_000
+#: Words that a Python worker remembers at most, some 200 bytes each.
+MEMORY = 600_000
 
 
 class WordEncoder:
@@ -53,9 +53,11 @@ class WordEncoder:
     tokenizer as they are.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, most: int = MEMORY):
         from tokenizers import Tokenizer
 
+        self.most = most
+
         spec = json.loads(definition)
         splits = json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False)
         lower = "Lowercase" in json.dumps(spec.get("normalizer"))
@@ -91,7 +93,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memory) > MEMORY:
+        if len(self.memory) > self.most:
             self.memory.clear()
         words = [_WORD.findall(t.lower()) if self._apart(t) else None for t in texts]
         self._learn(list(set().union(*filter(None, words)).difference(self.memory)))
@@ -100,8 +102,11 @@ class WordEncoder:
         return [next(rest).tobytes() if w is None else b"".join(map(recall, w)) for w in words]
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """A row for each piece of each document, with the CRC-32 of its ids."""
+def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, most_words: int = MEMORY) -> DataFrame:
+    """A row for each piece of each document, with the CRC-32 of its ids.
+
+    ``most_words`` bounds what a worker remembers; fewer cost more encoding, and change no id.
+    """
     bound_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -112,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = remembered(("packing", definition.value), lambda: WordEncoder(definition.value))
+        encoder = remembered(("packing", definition.value, most_words), lambda: WordEncoder(definition.value, most_words))
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
             rows = []
