@@ -37,8 +37,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more, over shingles of five words, keep one document."""
-    return simhash_similar.first_of_each_group(docs, similarity=0.8, shingle_words=5)
+    """Of near duplicates keep one document.
+
+    Texts are linked by SimHash fingerprints within two bits, through the pivot
+    distance tables of operator 7, and beyond their reach by a similarity of 0.8
+    or more over shingles of five words.
+    """
+    return simhash_similar.first_of_each_group(docs, similarity=0.8, shingle_words=5, pivot_shingle_words=3)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Near duplicates by a similarity of word shingles: an exact join, with SimHash as a check before it.
+"""Near duplicates by SimHash through pivot distance tables, and by a similarity of word shingles that two bits don't reach.
+
+With ``pivot_shingle_words``, texts are first linked as :mod:`evalmill.llm.simhash`
+does: 64-bit fingerprints, keys from pivot distance tables, pairs discarded by
+their largest difference of distances, the rest verified by two bits. All these
+links count. What they connect isn't held against each other again; an exact
+join of shingle sets follows for all other pairs, and the groups are those of
+both kinds of links.
 
 Two sets of a Jaccard similarity t share one of the first n - ceil(t * n) + 1
 of their n shingles, in any order that holds for all texts. So each distinct
@@ -48,7 +55,7 @@ from evalmill.session import discard, stage
 WORDS = 4
 #: Factors that turn one hash of a shingle into the hashes of the four words.
 FACTORS = [xxhash.xxh64_intdigest(b"word", seed) | 1 for seed in range(WORDS)]
-PRINT = "doc_id long, node long, n int, w0 long, w1 long, w2 long, w3 long"
+PRINT = "doc_id long, node long, n int, w0 long, w1 long, w2 long, w3 long, fp long"
 NAMES = ["w0", "w1", "w2", "w3"]
 #: Of the bits of a pair, those that may differ before it is verified.
 SLACK = 0.28
@@ -95,21 +102,25 @@ def node_of(found: np.ndarray) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def wide_fingerprints(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, ``node`` (one hash of the shingle set), the size of the set and the four words."""
+def wide_fingerprints(docs: DataFrame, shingle_words: int, pivot_shingle_words: int | None = None) -> DataFrame:
+    """doc_id, ``node`` (one hash of the shingle set), the size of the set, the four words, and ``fp``.
+
+    ``fp`` is the fingerprint of operator 7 over shingles of ``pivot_shingle_words``, null without these.
+    """
     bound_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, nodes, sizes = [], [], []
-            for text in batch.column("text"):
-                found = shingle_set(text.as_py(), shingle_words)
+            words, nodes, sizes, prints = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text, shingle_words)
+                prints.append(simhash.signed(simhash.fingerprint(text, pivot_shingle_words)) if pivot_shingle_words else None)
                 words.append(wide_fingerprint(found))
                 nodes.append(node_of(found))
                 sizes.append(len(found))
             table = np.array(words, np.uint64).reshape(-1, WORDS).view(np.int64)
             columns = [
-                pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(c) for c in table.T)
+                pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(c) for c in table.T), pa.array(prints, pa.int64())
             ]
             yield pa.record_batch([batch.column("doc_id"), *columns], names=[x.split()[0] for x in PRINT.split(", ")])
         return_memory()
@@ -137,6 +148,31 @@ def same_document_links(prints: DataFrame) -> DataFrame:
     return rows.join(several, rows["doc_id"] == several["of"]).filter("a <> b").select("a", "b").distinct()
 
 
+def pivot_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints are equal or within two bits, by the pivot distance tables of operator 7.
+
+    Texts of one shingle set may have several fingerprints, and texts of several sets the same one.
+    """
+    rows = prints.filter("fp is not null").select("fp", "node").distinct()
+    ends = stage(rows.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "pivot-prints")
+    within = stage(simhash.links_within(ends.select("fp")).distinct(), "pivot-near")
+    a, b = (ends.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
+    near = within.join(a, within["a"] == a["fp_a"]).join(b, within["b"] == b["fp_b"])
+    near = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    several = ends.filter("first < last").select(F.col("fp").alias("of"), F.col("first").alias("a"))
+    same = rows.join(several, rows["fp"] == several["of"]).select("a", F.col("node").alias("b"))
+    links = stage(near.unionByName(same).filter("a <> b").distinct(), "pivot-links")
+    discard(ends, within)
+    return links
+
+
+def with_labels(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with ``label``: equal for nodes that the links ``known`` connect."""
+    roots = component_roots(known).select(F.col("node").alias("of"), "root")
+    labelled = nodes.join(roots, nodes["node"] == roots["of"], "left")
+    return stage(labelled.select(*nodes.columns, F.coalesce("root", "node").alias("label")), "similar-nodes")
+
+
 def common_shingles(firsts: DataFrame, count: int, shingle_words: int, pair_limit: int) -> np.ndarray:
     """Shingles of many texts by a sample, the most common last: those that ``pair_limit`` texts or so would share.
 
@@ -258,9 +294,9 @@ def block_forest(
 
 
 def led_links(
-    crowded: DataFrame, nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int
+    crowded: DataFrame, nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int, known: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(links, crowded keys that these links leave in several parts, as rows of key, node, label).
+    """(links, crowded keys that these and the known links leave in several parts, as rows of key, node, label).
 
     Every crowded key holds its members against one of them, its leader. A key
     whose members are then connected needs no more: of a group of near copies
@@ -271,7 +307,7 @@ def led_links(
     ties = crowded.join(leaders, crowded["key"] == leaders["led"])
     pairs = ties.filter(F.col("a") != F.col("node")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     links = verified_links(stage(pairs.distinct(), "similar-ties"), nodes, firsts, similarity, shingle_words)
-    roots = component_roots(links).select(F.col("node").alias("of"), "root")
+    roots = component_roots(links.unionByName(known)).select(F.col("node").alias("of"), "root")
     labelled = crowded.join(roots, crowded["node"] == roots["of"], "left")
     labelled = stage(labelled.select("key", "node", F.coalesce("root", "node").alias("label")), "similar-labels")
     parts = labelled.groupBy(F.col("key").alias("of")).agg((F.min("label") != F.max("label")).alias("parts")).filter("parts")
@@ -328,14 +364,16 @@ def block_links(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select(*columns).groupBy("root", "i", "j").applyInArrow(forest, "a long, b long")
 
 
-def crowded_links(crowded: DataFrame, nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+def crowded_links(
+    crowded: DataFrame, nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int, known: DataFrame
+) -> DataFrame:
     """Verified links of the nodes that share crowded keys (rows of key, node).
 
     Leaders come first. The groups that the keys left connect are compared by
     fingerprints only, in wide blocks; what is near by these forms the smaller
     groups whose shingle sets are compared.
     """
-    links, mixed = led_links(crowded, nodes, firsts, similarity, shingle_words)
+    links, mixed = led_links(crowded, nodes, firsts, similarity, shingle_words, known)
     prints = nodes.select(F.col("node").alias("of"), "n", *NAMES)
     wide = dealt_blocks(key_groups(mixed), WIDE_BLOCK)
     near = stage(block_links(wide.join(prints, wide["node"] == prints["of"]), similarity), "similar-near")
@@ -358,10 +396,11 @@ def _both_ends(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
 
 
 def verified_links(pairs: DataFrame, nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity."""
+    """The pairs of nodes of different labels whose shingle sets reach the similarity."""
     apart = sum((simhash.distance(F.col(f"{w}_a"), F.col(f"{w}_b")) for w in NAMES), F.lit(0))
     near = (apart <= int(SLACK * 64 * WORDS)) | (F.least("n_a", "n_b") < SMALL)
-    pairs = stage(_both_ends(pairs, nodes, ["n", *NAMES]).filter(near).select("a", "b"), "similar-pairs")
+    both = _both_ends(pairs, nodes, ["n", "label", *NAMES]).filter(F.col("label_a") != F.col("label_b"))
+    pairs = stage(both.filter(near).select("a", "b"), "similar-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     wanted = stage(nodes.join(ends, nodes["node"] == ends["end"], "left_semi").select("node", "first_id"), "similar-ends")
     shingles = shingle_table(wanted, firsts, shingle_words)
@@ -381,9 +420,9 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, firsts: DataFrame, simila
 
 
 def similar_links(
-    nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int, pair_limit: int
+    nodes: DataFrame, firsts: DataFrame, similarity: float, shingle_words: int, pair_limit: int, known: DataFrame
 ) -> DataFrame:
-    """Links (a, b) of nodes that reach the similarity, enough of them to connect all that do."""
+    """Links (a, b) of nodes that reach the similarity: enough of them to connect, with the known links, all that do."""
     keyed = stage(prefix_keys(firsts, nodes.count(), similarity, shingle_words, pair_limit), "prefix-keys")
     # Most keys are one node's own: they go first.
     times = keyed.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
@@ -395,19 +434,24 @@ def similar_links(
     discard(pairs)
     crowded = stage(shared.filter(F.col("times") > pair_limit).select("key", "node"), "similar-full")
     discard(shared)
-    return links.unionByName(crowded_links(crowded, nodes, firsts, similarity, shingle_words))
+    return links.unionByName(crowded_links(crowded, nodes, firsts, similarity, shingle_words, known))
 
 
 def similar_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, pair_limit: int = 32
+    docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, pair_limit: int = 32, pivot_shingle_words: int | None = None
 ) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that links of the similarity reach from each document."""
+    """(doc_id, component_id): the smallest doc_id that links reach from each document.
+
+    Links are those of the similarity and, with ``pivot_shingle_words``, those of
+    fingerprints over so many words that differ in two bits or fewer.
+    """
     docs = docs.filter("doc_id is not null")
-    prints = stage(wide_fingerprints(docs, shingle_words), "wide-fingerprints")
+    prints = stage(wide_fingerprints(docs, shingle_words, pivot_shingle_words), "wide-fingerprints")
+    known = pivot_links(prints)
     nodes = stage(prints.groupBy("node", "n", *NAMES).agg(F.min("doc_id").alias("first_id")), "wide-nodes")
     firsts = first_documents(docs, prints, nodes)
-    links = similar_links(nodes, firsts, similarity, shingle_words, pair_limit)
-    roots = component_roots(links.unionByName(same_document_links(prints)))
+    links = similar_links(with_labels(nodes, known), firsts, similarity, shingle_words, pair_limit, known)
+    roots = component_roots(links.unionByName(known).unionByName(same_document_links(prints)))
     placed = stage(
         nodes.select("node", "first_id")
         .join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
