@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from evalmill.llm import ngram_lm
@@ -84,3 +87,48 @@ def test_long_text_and_empty_table(spark):
     found = ngram_lm.backoff_scores(spark.createDataFrame([(1, long), (2, long)], schema)).collect()
     assert [r["n_words"] for r in found] == [200_000] * 2 and found[0]["score_micro"] == found[1]["score_micro"]
     assert ngram_lm.backoff_scores(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_group_is_scored_in_little_memory():
+    """Of a group of a million words: what scoring it takes beside the group's own words and what it was told."""
+    sizes = np.full(2_000, 500)
+    words = np.random.default_rng(1).zipf(1.3, sizes.sum()).astype(np.uint64)
+    rows = words.reshape(-1, 500)
+    grams = [np.stack([rows[:, k : 500 - n + 1 + k].ravel() for k in range(n)], axis=1) for n in (1, 2, 3)]
+    told = [np.zeros(len(np.unique(x, axis=0)), np.int64) for x in grams]
+    tracemalloc.start()
+    try:
+        summed, by_level = ngram_lm.scores(ngram_lm.Group(sizes, words, 3), told, int(sizes.sum()), ALPHA)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (by_level.sum(axis=1) == sizes).all() and (summed < 0).all()
+    assert peak < 80e6, peak
+
+
+def test_documents_in_blocks_score_the_same(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, level int").coalesce(1)
+    wanted = sorted(map(str, ngram_lm.backoff_scores(docs).collect()))
+    for words in (1, 7):
+        monkeypatch.setattr(ngram_lm, "BLOCK_WORDS", words)
+        assert sorted(map(str, ngram_lm.backoff_scores(docs).collect())) == wanted
+
+
+@pytest.mark.parametrize(("count", "width"), [(1, 1), (200, 2), (50_000, 4), (2_000_000_000, 8)])
+def test_counts_of_any_size(count, width):
+    """Four groups ask for two n-grams, and for one that the first alone has: each is told what the others add."""
+    hashes = np.array([5, 7, 2**63 + 1, 5, 7, 5, 7, 5, 7], np.uint64)
+    own = np.array([count, 1, 3, count, 1, count, 1, count, 1], np.int32)
+    ends = np.array([0, 3, 5, 7, 9])
+    columns = [pa.array([4] * 4, pa.int32()), pa.array(list("abcd")), ngram_lm.bytes_between(hashes, ends), ngram_lm.bytes_between(own, ends)]
+    batch = pa.record_batch(columns, names=ngram_lm.names_of(ngram_lm._ASKED))
+    told = ngram_lm.joined_counts(1)(pa.Table.from_batches([batch.slice(0, 1), batch.slice(1)]))
+    assert told.column("width").to_pylist() == [width] * 4 and told.column("grp").to_pylist() == list("abcd")
+    found = [np.frombuffer(x, f"u{width}").tolist() for x in told.column("elsewhere").to_pylist()]
+    assert found == [[3 * count, 3, 0], *[[3 * count, 3]] * 3]
+
+
+def test_packed_words_come_back():
+    for n in (0, 1, 70_000):
+        words = np.arange(n, dtype=np.int32) * 30_000
+        assert (ngram_lm.unpacked(pa.py_buffer(ngram_lm.packed(words))) == words).all()
