@@ -76,8 +76,8 @@ def list_of(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def bytes_between(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
-    """A binary column: each row has the values from one end to the next."""
-    offsets = pa.py_buffer((ends * values.itemsize).astype(np.int32))
+    """A binary column: each row has the values from one end to the next. More than 2 GB are refused."""
+    offsets = pa.array(ends * values.itemsize, pa.int32()).buffers()[1]
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
 
 

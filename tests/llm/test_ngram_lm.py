@@ -120,7 +120,8 @@ def test_counts_of_any_size(count, width):
     hashes = np.array([5, 7, 2**63 + 1, 5, 7, 5, 7, 5, 7], np.uint64)
     own = np.array([count, 1, 3, count, 1, count, 1, count, 1], np.int32)
     ends = np.array([0, 3, 5, 7, 9])
-    columns = [pa.array([4] * 4, pa.int32()), pa.array(list("abcd")), ngram_lm.bytes_between(hashes, ends), ngram_lm.bytes_between(own, ends)]
+    lists = [ngram_lm.bytes_between(x, ends) for x in (hashes, own)]
+    columns = [pa.array([4] * 4, pa.int32()), pa.array(list("abcd")), *lists]
     batch = pa.record_batch(columns, names=ngram_lm.names_of(ngram_lm._ASKED))
     told = ngram_lm.joined_counts(1)(pa.Table.from_batches([batch.slice(0, 1), batch.slice(1)]))
     assert told.column("width").to_pylist() == [width] * 4 and told.column("grp").to_pylist() == list("abcd")
@@ -132,3 +133,8 @@ def test_packed_words_come_back():
     for n in (0, 1, 70_000):
         words = np.arange(n, dtype=np.int32) * 30_000
         assert (ngram_lm.unpacked(pa.py_buffer(ngram_lm.packed(words))) == words).all()
+
+
+def test_no_binary_column_wraps_round():
+    with pytest.raises(pa.ArrowInvalid):
+        ngram_lm.bytes_between(np.zeros(3, np.int64), np.array([0, 3, 2**28]))
